@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import blank_to_empty, contains_any
@@ -31,22 +31,40 @@ WORD_DATE = (
     rf"|(?:{MONTHS}){_GAP}{_DAY}{_GAP}{_YEAR}"
     rf"|\d{{4}}{_GAP}(?:{MONTHS}){_GAP}{_DAY})$"
 )
+MONTH_FIRST = rf"^{_WEEKDAY}(?:{MONTHS})(?:[^a-z]|$)"
 
 
-def parse_money(text: Column) -> Column:
-    """`$1,234.50`, `(200.00)`, `1.234,50` and `EUR 99,90` to decimals; unreadable text to null."""
-    raw = blank_to_empty(F.replace(text, F.lit("\xa0"), F.lit(" ")))
-    in_parens = raw.rlike(r"^\(.*\)$")
-    kept = F.regexp_replace(F.regexp_replace(raw, r"(?i)\b[a-z]{3}\b", ""), r"[^0-9,.\-]", "")
-    negative = in_parens | F.startswith(kept, F.lit("-"))
-    digits = F.replace(kept, F.lit("-"), F.lit(""))
+def _money_raw(text: Column) -> Column:
+    return blank_to_empty(F.replace(text, F.lit("\xa0"), F.lit(" ")))
+
+
+def _money_kept(raw: Column) -> Column:
+    """Digits, separators and minus signs, without three-letter currency words."""
+    return F.regexp_replace(F.regexp_replace(raw, r"(?i)\b[a-z]{3}\b", ""), r"[^0-9,.\-]", "")
+
+
+def _money_value(raw: Column, kept: Column) -> Column:
+    negative = raw.rlike(r"^\(.*\)$") | F.startswith(kept, F.lit("-"))
     # Two digits after the last comma, and no point after it: the comma is the decimal mark.
-    comma_decimals = digits.rlike(r",\d{2}$")
-    plain = F.when(
-        comma_decimals, F.replace(F.replace(digits, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    ).otherwise(F.replace(digits, F.lit(","), F.lit("")))
-    signed = F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), plain)
-    return signed.try_cast(RAW_MONEY)
+    decimal_comma = kept.rlike(r",-*\d-*\d-*$")
+    digits = F.when(decimal_comma, F.translate(kept, ",.-", ".")).otherwise(F.translate(kept, ",-", ""))
+    return F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), digits).try_cast(RAW_MONEY)
+
+
+def parse_money(text: Column) -> Column:
+    """`$1,234.50`, `(200.00)`, `1.234,50` and `EUR 99,90` to decimals; unreadable text to null.
+
+    For use inside array lambdas; `with_money` does the same for columns, one small step at a time.
+    """
+    return _money_value(_money_raw(text), _money_kept(_money_raw(text)))
+
+
+def with_money(df: DataFrame, cells: dict[str, str]) -> DataFrame:
+    """Add parsed amounts: {new column: text column}. Staged so each step reads plain columns."""
+    raw = df.withColumns({f"_raw_{out}": _money_raw(F.col(text)) for out, text in cells.items()})
+    kept = raw.withColumns({f"_kept_{out}": _money_kept(F.col(f"_raw_{out}")) for out in cells})
+    values = {out: _money_value(F.col(f"_raw_{out}"), F.col(f"_kept_{out}")) for out in cells}
+    return kept.withColumns(values).drop(*[f"_{step}_{out}" for out in cells for step in ("raw", "kept")])
 
 
 def _full_year(short: Column, as_of: date) -> Column:
@@ -59,57 +77,89 @@ def _full_year(short: Column, as_of: date) -> Column:
     )
 
 
-def parse_date(text: Column, hint: Column | str = "unknown", as_of: date | None = None) -> Column:
-    """A date cell under a day/month/year order hint (ISO, YMD, DMY, MDY or unknown).
+def with_dates(
+    df: DataFrame, cells: dict[str, str], hint: Column | str = "unknown", as_of: date | None = None
+) -> DataFrame:
+    """Add parsed dates: {new column: text column}, under an order hint (ISO, YMD, DMY, MDY, unknown).
 
     Reads ISO prefixes, bare yyyymmdd, numeric dates with `/ . -`, and dates with an English month
     name; a trailing time is ignored. An order that cannot be right is swapped (`08/28/2026` under
-    DMY). `as_of` fixes the century of two-digit years.
+    DMY). `as_of` fixes the century of two-digit years. Each step reads the columns of the one before,
+    which keeps the generated code small.
     """
     as_of = as_of or date.today()
     hint = F.lit(hint) if isinstance(hint, str) else hint
-    raw = blank_to_empty(text)
-    day = F.lower(F.when(F.contains(raw, F.lit(":")), F.regexp_replace(raw, r"[Tt ,]+\d{1,2}:\d{2}.*$", "")).otherwise(raw))
-    year_hint = hint.isin("YMD", "ISO")
-
-    def assemble(year_text: Column, month: Column, day_number: Column) -> Column:
-        number = year_text.try_cast("int")
-        year = F.when(F.length(year_text) <= 2, _full_year(number, as_of)).otherwise(number)
-        return F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), month.cast("string"), day_number.cast("string")).try_cast("date")
-
-    parts = F.split(day, r"[/.\-]")
-    first, second, third = (F.get(parts, F.lit(i)) for i in range(3))
-    a, b, c = (part.try_cast("int") for part in (first, second, third))
-    year_first = (F.length(first) == 4) | (a > 31) | (year_hint & (b <= 12) & (F.length(third) <= 2) & (c <= 31))
-    day_first = (a > 12) | ((hint == "DMY") & (b <= 12))
-    numeric = (
-        F.when(year_first, assemble(first, b, c))
-        .when(day_first, assemble(third, b, a))
-        .otherwise(assemble(third, a, b))
-    )
-
-    numbers = F.regexp_extract_all(day, F.lit(r"(\d+)"), F.lit(1))
-    n1, n2 = F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1))
-    name = F.regexp_extract(day, rf"(?:^|[^a-z])({MONTHS})(?:[^a-z]|$)", 1)
-    month = F.floor((F.instr(F.lit(MONTH_STARTS), F.substring(name, 1, 3)) + 2) / 3)
-    starts_with_month = day.rlike(rf"^{_WEEKDAY}(?:{MONTHS})(?:[^a-z]|$)")
-    year_leads = ~starts_with_month & (
-        (F.length(n1) == 4)
-        | (n1.try_cast("int") > 31)
-        | (year_hint & (F.length(n2) <= 2) & (n2.try_cast("int") <= 31))
-    )
-    worded = F.when(year_leads, assemble(n1, month, n2)).otherwise(assemble(n2, month, n1))
-
-    iso = F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(raw, 1, 10).try_cast("date"))
-    compact = F.concat_ws("-", F.substring(raw, 1, 4), F.substring(raw, 5, 2), F.substring(raw, 7, 2)).try_cast("date")
-    return (
-        F.when(raw == "", F.lit(None).cast("date"))
-        .when(iso.isNotNull(), iso)
-        .when(raw.rlike(r"^\d+$"), F.when(F.length(raw) == 8, compact))
-        .when(F.length(raw) < 6, F.lit(None).cast("date"))
-        .when(day.rlike(NUMERIC_DATE), numeric)
-        .when(day.rlike(WORD_DATE), worded)
-    )
+    year_hint = F.coalesce(hint.isin("YMD", "ISO"), F.lit(False))
+
+    def step(frame: DataFrame, make) -> DataFrame:
+        columns: dict[str, Column] = {}
+        for out in cells:
+            columns.update({f"_{k}_{out}": v for k, v in make(lambda k, o=out: F.col(f"_{k}_{o}")).items()})
+        return frame.withColumns(columns)
+
+    def split_time(get) -> dict[str, Column]:
+        raw = get("raw")
+        dated = F.when(F.contains(raw, F.lit(":")), F.regexp_replace(raw, r"[Tt ,]+\d{1,2}:\d{2}.*$", ""))
+        return {
+            "iso": F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(raw, 1, 10).try_cast("date")),
+            "day": F.lower(F.coalesce(dated, raw)),
+        }
+
+    def shape(get) -> dict[str, Column]:
+        raw, day = get("raw"), get("day")
+        kind = (
+            F.when(get("iso").isNotNull() | (raw == ""), "none")
+            .when(raw.rlike(r"^\d+$"), F.when(F.length(raw) == 8, "compact").otherwise("none"))
+            .when(F.length(raw) < 6, "none")
+            .when(day.rlike(NUMERIC_DATE), "numeric")
+            .when(day.rlike(WORD_DATE), F.when(day.rlike(MONTH_FIRST), "month first").otherwise("month inside"))
+            .otherwise("none")
+        )
+        return {"kind": kind}
+
+    def parts(get) -> dict[str, Column]:
+        day, kind = get("day"), get("kind")
+        numbers = F.regexp_extract_all(day, F.lit(r"(\d+)"), F.lit(1))
+        name = F.substring(F.regexp_extract(day, rf"(?:^|[^a-z])({MONTHS})(?:[^a-z]|$)", 1), 1, 3)
+        month = F.floor((F.instr(F.lit(MONTH_STARTS), name) + 2) / 3).cast("string")
+        return {
+            "p": F.when(kind == "numeric", F.split(day, r"[/.\-]"))
+            .when(kind == "compact", F.array(F.substring(day, 1, 4), F.substring(day, 5, 2), F.substring(day, 7, 2)))
+            .when(F.startswith(kind, F.lit("month")), F.array_insert(numbers, 2, month))
+        }
+
+    def order(get) -> dict[str, Column]:
+        kind = get("kind")
+        first, second, third = (F.get(get("p"), F.lit(i)) for i in range(3))
+        small_third = (F.length(third) <= 2) & (third.try_cast("int") <= 31)
+        year_first = (kind != "month first") & (
+            (F.length(first) == 4)
+            | (first.try_cast("int") > 31)
+            | (year_hint & (second.try_cast("int") <= 12) & small_third)
+        )
+        day_first = (
+            F.startswith(kind, F.lit("month"))
+            | (first.try_cast("int") > 12)
+            | ((hint == "DMY") & (second.try_cast("int") <= 12))
+        )
+        return {
+            "ymd": F.when(year_first, F.array(first, second, third))
+            .when(day_first, F.array(third, second, first))
+            .otherwise(F.array(third, first, second))
+        }
+
+    frame = df.withColumns({f"_raw_{out}": blank_to_empty(F.col(text)) for out, text in cells.items()})
+    for make in (split_time, shape, parts, order):
+        frame = step(frame, make)
+    found: dict[str, Column] = {}
+    for out in cells:
+        year = F.get(F.col(f"_ymd_{out}"), F.lit(0))
+        full = F.when(F.length(year) <= 2, _full_year(year.try_cast("int"), as_of)).otherwise(year.try_cast("int"))
+        rest = F.slice(F.col(f"_ymd_{out}"), 2, 2)
+        text = F.concat(F.lpad(full.cast("string"), 4, "0"), F.lit("-"), F.array_join(rest, "-"))
+        found[out] = F.coalesce(F.col(f"_iso_{out}"), text.try_cast("date"))
+    spent = [f"_{k}_{out}" for out in cells for k in ("raw", "iso", "day", "kind", "p", "ymd")]
+    return frame.withColumns(found).drop(*spent)
 
 
 def parse_status(text: Column, vocabulary: Column | None = None) -> Column:

@@ -37,16 +37,14 @@ def tokens(text: Column) -> Column:
 
 def quoted(text: Column) -> Column:
     """A value in quotes for a note: double quotes only where the value itself holds a single one."""
-    body = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    for char, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\xa0", "\\xa0")):
-        body = F.replace(body, F.lit(char), F.lit(shown))
     single = F.contains(text, F.lit("'"))
     double = F.contains(text, F.lit('"'))
-    return (
-        F.when(single & ~double, F.concat(F.lit('"'), body, F.lit('"')))
-        .when(single, F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'")))
-        .otherwise(F.concat(F.lit("'"), body, F.lit("'")))
-    )
+    mark = F.when(single & ~double, F.lit('"')).otherwise(F.lit("'"))
+    special = F.when(single & double, F.lit(r"([\\'])")).otherwise(F.lit(r"(\\)"))
+    body = F.regexp_replace(text, special, F.lit(r"\\$1"))
+    for char, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\xa0", "\\xa0")):
+        body = F.replace(body, F.lit(char), F.lit(shown))
+    return F.concat(mark, body, mark)
 
 
 def contains_any(text: Column, words: tuple[str, ...]) -> Column:

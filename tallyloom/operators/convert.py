@@ -15,7 +15,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.cells import is_code, parse_currency, parse_date, parse_money, parse_status
+from tallyloom.functions.cells import is_code, parse_currency, parse_status, with_dates, with_money
 from tallyloom.functions.lines import SYNTHESIZED_DESCRIPTION, build_line, parse_line_cell, round_line, sum_amounts
 from tallyloom.functions.text import file_stem, money_text, norm_key, quoted, strip
 from tallyloom.operators.numbering import number_rows, slice_of
@@ -128,14 +128,9 @@ def _mapped_line_columns(m: Column) -> Column:
 def _with_row_line(rows: DataFrame) -> DataFrame:
     """Type the line cells of every row once, before any shuffle."""
     has_line = (_mapped_line_columns(F.col("m")) >= 2) & (F.concat(*LINE_FIELDS) != "")
-    typed = rows.withColumns(
-        {
-            "_q": parse_money(F.col("line_item_quantity")),
-            "_p": parse_money(F.col("line_item_unit_price")),
-            "_a": parse_money(F.col("line_item_amount")),
-            "_has_line": has_line,
-        }
-    )
+    typed = with_money(
+        rows, {"_q": "line_item_quantity", "_p": "line_item_unit_price", "_a": "line_item_amount"}
+    ).withColumn("_has_line", has_line)
     line = build_line(F.col("line_item_description"), F.col("_q"), F.col("_p"), F.col("_a"))
     return typed.withColumn("line", F.when(F.col("_has_line"), line)).drop("_q", "_p", "_a", "_has_line")
 
@@ -221,13 +216,8 @@ def _other_lines(groups: DataFrame) -> DataFrame:
     packed = F.when(
         (F.col("column_lines") == 0) & (F.col("line_items_json") != ""), parse_line_cell(F.col("line_items_json"))
     ).otherwise(none)
-    parsed = groups.withColumns(
-        {
-            "subtotal": parse_money(F.col("subtotal")),
-            "tax": parse_money(F.col("tax")),
-            "total": parse_money(F.col("total")),
-            "_packed": packed,
-        }
+    parsed = with_money(groups, {name: name for name in ("subtotal", "tax", "total")}).withColumn(
+        "_packed", packed
     )
     amount = F.coalesce(F.round("subtotal", 2), F.lit(0)).cast(RAW_MONEY)
     made = F.struct(
@@ -328,10 +318,11 @@ def _finish(groups: DataFrame, as_of: date) -> DataFrame:
         F.lit("IMPORT-"), file_stem(F.col("file")), F.lit("-"), F.col("first_row").cast("string")
     )
     default = F.upper(strip(F.coalesce(m["currency_default"], F.lit(""))))
-    read = amounts.withColumns(
+    with_days = with_dates(
+        amounts, {"_issued": "invoice_date", "_due": "due_date"}, m["date_format"], as_of
+    )
+    read = with_days.withColumns(
         {
-            "_issued": parse_date(F.col("invoice_date"), m["date_format"], as_of),
-            "_due": parse_date(F.col("due_date"), m["date_format"], as_of),
             "_currency": F.coalesce(parse_currency(F.col("currency")), default),
             "_number": F.when(number == "", made_number).otherwise(number),
             "_number_note": F.when(
@@ -487,18 +478,15 @@ def nest(drafts: Drafts, limit: int = NEST_LIMIT) -> DataFrame:
 def file_warnings(rows: DataFrame, as_of: date | None = None) -> DataFrame:
     """Whole-file problems: file, warnings. One pass of partial aggregates over the rows."""
     m = F.col("m")
-    read = rows.select(
-        "file",
-        "m",
-        is_skipped().alias("_skipped"),
-        *[
-            ((F.col(c) != "") & parse_date(F.col(c), m["date_format"], as_of).isNull()).alias(f"_bad_{c}")
-            for c in ("invoice_date", "due_date")
-        ],
-    ).select(
+    dated = with_dates(rows, {"_issued": "invoice_date", "_due": "due_date"}, m["date_format"], as_of)
+    unread = [
+        F.when((F.col(text) != "") & F.col(parsed).isNull(), 1).otherwise(0)
+        for text, parsed in (("invoice_date", "_issued"), ("due_date", "_due"))
+    ]
+    read = dated.select(
         "file",
-        F.col("_skipped").cast("int").alias("_skipped"),
-        (F.col("_bad_invoice_date").cast("int") + F.col("_bad_due_date").cast("int")).alias("_unreadable"),
+        is_skipped().cast("int").alias("_skipped"),
+        (unread[0] + unread[1]).alias("_unreadable"),
         (m["total"].isNull() & m["subtotal"].isNull()).alias("_no_total"),
         m["vendor_name"].isNull().alias("_no_vendor"),
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.cells import CURRENCY_SYMBOLS, is_code, symbol_code
 from tallyloom.functions.text import blank_to_empty, norm_key, quoted, strip, tokens
+from tallyloom.operators.numbering import ensure_checkpoint_dir
 from tallyloom.schema import LINE_FIELDS, MAPPED_FIELDS, MAPPING, MONEY_FIELDS, STATUSES
 
 SNIFF_ROWS = 200  # Fixed value: rows of a file the sniffers look at.
@@ -357,7 +358,8 @@ def heuristic_mapping(cells: DataFrame, headers: DataFrame) -> DataFrame:
         for name in ("invoice_number", "vendor_name", "invoice_date", "total")
     ]
     notes = F.array_compact(F.array("amount_note", "granularity_note", "currency_note", "date_note", *missing))
-    return sniffed.select(
+    ensure_checkpoint_dir(cells.sparkSession)
+    chosen = sniffed.select(
         "file",
         "granularity",
         *[F.col("assigned")[name].alias(name) for name in MAPPED_FIELDS],
@@ -367,6 +369,9 @@ def heuristic_mapping(cells: DataFrame, headers: DataFrame) -> DataFrame:
         notes.alias("notes"),
         F.lit("heuristic").alias("mapping_source"),
     )
+    # A decision per file: fixed once, so that every later stage reads the same small table and no
+    # filter on it is pushed back through the sniffing.
+    return chosen.checkpoint()
 
 
 # ------------------------------------------------------------------ supplied mappings
