@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.functions.text import blank_to_empty
 from tallyloom.operators.validate import round_money, with_review
@@ -79,7 +80,7 @@ def parse_records(df: DataFrame, json_column: str) -> DataFrame:
     Adds the invoice columns, `error` (null when the record fits), `review_notes` and `needs_review`.
     A record that does not fit keeps its row with the reason.
     """
-    schema = INVOICE_DRAFT.add("_corrupt", "string")
+    schema = T.StructType([*INVOICE_DRAFT.fields, T.StructField("_corrupt", T.StringType())])
     parsed = df.withColumn(
         "_record",
         F.from_json(F.col(json_column), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}),
@@ -103,7 +104,7 @@ def parse_records(df: DataFrame, json_column: str) -> DataFrame:
             F.lit("The status is not one of paid, pending or overdue."),
         )
     )
-    columns = {name: record[name] for name in INVOICE_DRAFT.fieldNames() if name != "_corrupt"}
+    columns = {name: record[name] for name in INVOICE_DRAFT.fieldNames()}
     columns["status"] = F.coalesce(record["status"], F.lit("pending"))
     flat = parsed.withColumn("error", error).withColumns(columns).drop("_record")
     reviewed = with_review(round_money(flat))
