@@ -673,7 +673,7 @@ grp AS (
 """
 
 
-def mapped_lines(spark: SparkSession, sf: str) -> DataFrame:
+def mapped_lines(spark: SparkSession, sf: str) -> C.Rows:
     staged = line_rows(spark, sf)
     return C.rows_from_cells(staged.cells, M.heuristic_mapping(staged.cells, staged.headers))
 

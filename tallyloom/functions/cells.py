@@ -40,31 +40,51 @@ def _money_raw(text: Column) -> Column:
 
 def _money_kept(raw: Column) -> Column:
     """Digits, separators and minus signs, without three-letter currency words."""
-    return F.regexp_replace(F.regexp_replace(raw, r"(?i)\b[a-z]{3}\b", ""), r"[^0-9,.\-]", "")
+    stripped = F.regexp_replace(F.regexp_replace(raw, r"(?i)\b[a-z]{3}\b", ""), r"[^0-9,.\-]", "")
+    # Most cells are plain numbers already and skip both passes.
+    return F.when(raw.rlike(r"^-?[0-9.,]*$"), raw).otherwise(stripped)
 
 
-def _money_value(raw: Column, kept: Column) -> Column:
-    negative = raw.rlike(r"^\(.*\)$") | F.startswith(kept, F.lit("-"))
+def _money_signed(raw: Column, kept: Column) -> Column:
+    """One leading sign, a point as decimal mark, no thousands marks."""
+    in_parens = F.startswith(raw, F.lit("(")) & F.endswith(raw, F.lit(")")) & ~F.contains(raw, F.lit("\n"))
+    negative = in_parens | F.startswith(kept, F.lit("-"))
     # Two digits after the last comma, and no point after it: the comma is the decimal mark.
-    decimal_comma = kept.rlike(r",-*\d-*\d-*$")
+    decimal_comma = F.contains(kept, F.lit(",")) & kept.rlike(r",-*\d-*\d-*$")
     digits = F.when(decimal_comma, F.translate(kept, ",.-", ".")).otherwise(F.translate(kept, ",-", ""))
-    return F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), digits).try_cast(RAW_MONEY)
+    return F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), digits)
 
 
-def parse_money(text: Column) -> Column:
-    """`$1,234.50`, `(200.00)`, `1.234,50` and `EUR 99,90` to decimals; unreadable text to null.
+def _money_value(signed: Column) -> Column:
+    # Only text that is a number is cast: a failed decimal cast costs an exception per cell.
+    return F.when(signed.rlike(r"^-?(?:\d+\.?\d*|\.\d+)$"), signed.try_cast(RAW_MONEY))
 
-    For use inside array lambdas; `with_money` does the same for columns, one small step at a time.
+
+def with_money(df: DataFrame, cells: dict[str, str]) -> DataFrame:
+    """Add parsed amounts: {new column: text column}.
+
+    `$1,234.50`, `(200.00)`, `1.234,50` and `EUR 99,90` become decimals, unreadable text null. Staged
+    so each step reads plain columns.
     """
-    return _money_value(_money_raw(text), _money_kept(_money_raw(text)))
+    df = df.withColumns({f"_raw_{out}": _money_raw(F.col(text)) for out, text in cells.items()})
+    df = df.withColumns({f"_kept_{out}": _money_kept(F.col(f"_raw_{out}")) for out in cells})
+    df = df.withColumns({f"_signed_{out}": _money_signed(F.col(f"_raw_{out}"), F.col(f"_kept_{out}")) for out in cells})
+    values = {out: _money_value(F.col(f"_signed_{out}")) for out in cells}
+    return df.withColumns(values).drop(*[f"_{step}_{out}" for out in cells for step in ("raw", "kept", "signed")])
 
 
-def with_money(df: DataFrame, cells: dict[str, str]) -> DataFrame:
-    """Add parsed amounts: {new column: text column}. Staged so each step reads plain columns."""
-    raw = df.withColumns({f"_raw_{out}": _money_raw(F.col(text)) for out, text in cells.items()})
-    kept = raw.withColumns({f"_kept_{out}": _money_kept(F.col(f"_raw_{out}")) for out in cells})
-    values = {out: _money_value(F.col(f"_raw_{out}"), F.col(f"_kept_{out}")) for out in cells}
-    return kept.withColumns(values).drop(*[f"_{step}_{out}" for out in cells for step in ("raw", "kept")])
+def money_fields(records: Column, money: tuple[str, ...], rest: tuple[str, ...]) -> Column:
+    """The same for an array of structs of texts: parse the `money` fields, keep the `rest`."""
+
+    def step(array: Column, make) -> Column:
+        return F.transform(
+            array, lambda r: F.struct(*[r[k].alias(k) for k in rest], *[make(r[k]).alias(k) for k in money])
+        )
+
+    raw = step(records, _money_raw)
+    kept = step(raw, lambda v: F.struct(v.alias("raw"), _money_kept(v).alias("kept")))
+    signed = step(kept, lambda v: _money_signed(v["raw"], v["kept"]))
+    return step(signed, _money_value)
 
 
 def _full_year(short: Column, as_of: date) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyloom.functions.cells import parse_money
+from tallyloom.functions.cells import money_fields
 from tallyloom.functions.text import blank_to_empty, norm_key, strip
 from tallyloom.schema import LINE_DDL, MONEY, RAW_LINE_DDL, RAW_MONEY
 
@@ -46,13 +46,12 @@ def build_line(description: Column, quantity: Column, unit_price: Column, amount
     ).cast(RAW_LINE_DDL)
 
 
-def _first_alias(entries: Column, aliases: tuple[str, ...]) -> Column:
-    """The first alias that is present decides; among equal spellings the last one does."""
-    found = F.transform(
-        F.array(*[F.lit(alias) for alias in aliases]),
-        lambda alias: F.try_element_at(F.filter(entries, lambda e: e["key"] == alias), F.lit(-1)),
-    )
-    return F.get(F.filter(found, lambda e: e.isNotNull()), F.lit(0))
+# Alias to its place: hundreds name the field, units the priority within it.
+_PLACES = {
+    alias: 100 * field + priority
+    for field, aliases in enumerate(LINE_KEYS.values())
+    for priority, alias in enumerate(aliases)
+}
 
 
 def _falsy(entry: Column) -> Column:
@@ -71,20 +70,35 @@ def json_lines(cell: Column) -> Column:
     objects = F.filter(
         F.transform(items, lambda v: v.try_cast("map<string,variant>")), lambda m: m.isNotNull()
     )
-    entries = F.transform(
+    places = F.create_map(*[F.lit(x) for pair in _PLACES.items() for x in pair])
+    placed = F.transform(
         objects,
         lambda obj: F.transform(
             F.map_entries(obj),
+            lambda e, i: F.struct(places[norm_key(e["key"])].alias("place"), (-i).alias("later"), e["value"].alias("value")),
+        ),
+    )
+    # The first alias that is present decides; among equal spellings the last one does.
+    known = F.transform(placed, lambda es: F.filter(es, lambda e: e["place"].isNotNull()))
+    typed = F.transform(
+        known,
+        lambda es: F.transform(
+            es,
             lambda e: F.struct(
-                norm_key(e["key"]).alias("key"),
+                e["place"].alias("place"),
+                e["later"].alias("later"),
                 F.schema_of_variant(e["value"]).alias("kind"),
                 e["value"].try_cast("string").alias("text"),
             ),
         ),
     )
+    ordered = F.transform(typed, lambda es: F.array_sort(es))
+
+    def field(es: Column, number: int) -> Column:
+        return F.get(F.filter(es, lambda e: F.floor(e["place"] / 100) == number), F.lit(0))
+
     picked = F.transform(
-        entries,
-        lambda es: F.struct(*[_first_alias(es, aliases).alias(name) for name, aliases in LINE_KEYS.items()]),
+        ordered, lambda es: F.struct(*[field(es, i).alias(name) for i, name in enumerate(LINE_KEYS)])
     )
     texts = F.transform(
         picked,
@@ -92,13 +106,7 @@ def json_lines(cell: Column) -> Column:
             *[F.when(_falsy(p[name]), F.lit("")).otherwise(p[name]["text"]).alias(name) for name in LINE_KEYS]
         ),
     )
-    parsed = F.transform(
-        texts,
-        lambda t: F.struct(
-            t["description"].alias("description"),
-            *[parse_money(t[name]).alias(name) for name in ("quantity", "unit_price", "amount")],
-        ),
-    )
+    parsed = money_fields(texts, ("quantity", "unit_price", "amount"), ("description",))
     return F.transform(
         parsed, lambda p: build_line(p["description"], p["quantity"], p["unit_price"], p["amount"])
     )
@@ -106,17 +114,24 @@ def json_lines(cell: Column) -> Column:
 
 def text_lines(cell: Column) -> Column:
     """`description x quantity @ price` lines split on new lines, semicolons and pipes."""
-    chunks = F.filter(
-        F.transform(F.split(cell, r"[\n;|]+"), strip), lambda chunk: chunk.rlike(TEXT_LINE)
+    # One match per chunk: its three groups are joined by a mark that text cells do not hold.
+    mark = "\x01"
+    groups = F.filter(
+        F.transform(
+            F.split(cell, r"[\n;|]+"),
+            lambda chunk: F.split(F.regexp_replace(strip(chunk), TEXT_LINE, f"$1{mark}$2{mark}$3"), mark),
+        ),
+        lambda parts: F.size(parts) == 3,
     )
-    parsed = F.transform(
-        chunks,
-        lambda chunk: F.struct(
-            F.regexp_extract(chunk, TEXT_LINE, 1).alias("description"),
-            parse_money(F.regexp_extract(chunk, TEXT_LINE, 2)).alias("quantity"),
-            parse_money(F.regexp_extract(chunk, TEXT_LINE, 3)).alias("unit_price"),
+    texts = F.transform(
+        groups,
+        lambda parts: F.struct(
+            F.get(parts, F.lit(0)).alias("description"),
+            F.get(parts, F.lit(1)).alias("quantity"),
+            F.get(parts, F.lit(2)).alias("unit_price"),
         ),
     )
+    parsed = money_fields(texts, ("quantity", "unit_price"), ("description",))
     missing = F.lit(None).cast(RAW_MONEY)
     return F.transform(
         parsed, lambda p: build_line(p["description"], p["quantity"], p["unit_price"], missing)

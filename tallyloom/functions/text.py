@@ -16,8 +16,14 @@ WHITESPACE = (
 
 
 def strip(text: Column) -> Column:
-    """Trim every kind of white space from both ends."""
-    return F.trim(text, F.lit(WHITESPACE))
+    """Trim every kind of white space from both ends.
+
+    Trimming a set of characters is slow, so it is left to cells that still start or end with
+    something other than visible ASCII once their spaces are gone.
+    """
+    spaced = F.trim(text)
+    visible = F.ascii(spaced).between(33, 126) & F.ascii(F.right(spaced, F.lit(1))).between(33, 126)
+    return F.when(visible, spaced).otherwise(F.trim(text, F.lit(WHITESPACE)))
 
 
 def blank_to_empty(text: Column) -> Column:

@@ -80,22 +80,27 @@ class Drafts:
 # ------------------------------------------------------------------ rows with named values
 
 
-def _mapping_struct(mapping: DataFrame) -> DataFrame:
-    return mapping.select("file", F.struct(*[c for c in mapping.columns if c != "file"]).alias("m"))
 
+@dataclass(frozen=True)
+class Rows:
+    """Source rows with one text column per invoice field, and the mapping struct `m` of each file."""
+
+    frame: DataFrame
+    mapping: DataFrame
 
-def rows_from_cells(cells: DataFrame, mapping: DataFrame) -> DataFrame:
+
+def rows_from_cells(cells: DataFrame, mapping: DataFrame) -> Rows:
     """Look every mapped column up in the cell map: file, row_no, m, one text column per field.
 
     The mapping side has one row per file; whether it is broadcast is left to its measured size.
     """
-    joined = cells.join(_mapping_struct(mapping), "file")
+    structs = mapping.select("file", F.struct(*[c for c in mapping.columns if c != "file"]).alias("m"))
     m = F.col("m")
     values = [F.coalesce(F.col("cells")[m[name]], F.lit("")).alias(name) for name in MAPPED_FIELDS]
-    return joined.select("file", "row_no", "m", *values)
+    return Rows(cells.join(structs, "file").select("file", "row_no", "m", *values), structs)
 
 
-def rows_from_frame(df: DataFrame, file: str, row_no: str, mapping: Mapping[str, object]) -> DataFrame:
+def rows_from_frame(df: DataFrame, file: str, row_no: str, mapping: Mapping[str, object]) -> Rows:
     """The same shape straight from one wide text table and its one mapping.
 
     Only mapped columns are read, so pruning reaches the scan; nothing is packed into maps.
@@ -114,7 +119,8 @@ def rows_from_frame(df: DataFrame, file: str, row_no: str, mapping: Mapping[str,
         (strip(F.coalesce(F.col(f"`{v}`").cast("string"), F.lit(""))) if v else F.lit("")).alias(k)
         for k, v in names.items()
     ]
-    return df.select(F.lit(file).alias("file"), F.col(row_no).cast("long").alias("row_no"), m.alias("m"), *values)
+    frame = df.select(F.lit(file).alias("file"), F.col(row_no).cast("long").alias("row_no"), m.alias("m"), *values)
+    return Rows(frame, df.sparkSession.range(1).select(F.lit(file).alias("file"), m.alias("m")))
 
 
 def _is_grouped(m: Column) -> Column:
@@ -140,9 +146,9 @@ def is_skipped() -> Column:
     return _is_grouped(F.col("m")) & (norm_key(F.col("invoice_number")) == "")
 
 
-def _keyed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _keyed(rows: Rows) -> tuple[DataFrame, DataFrame]:
     """(rows that are drafts by themselves, rows to be grouped by invoice number)."""
-    lined = _with_row_line(rows)
+    lined = _with_row_line(rows.frame)
     grouped = _is_grouped(F.col("m"))
     single = lined.where(~grouped).withColumn("draft_key", F.col("row_no").cast("string"))
     many = lined.where(grouped).withColumn("draft_key", norm_key(F.col("invoice_number")))
@@ -171,9 +177,8 @@ _MEASURES = {
 }
 
 
-def _groups(rows: DataFrame) -> DataFrame:
+def _groups(single: DataFrame, many: DataFrame, mapping: DataFrame) -> DataFrame:
     """One row per draft with the first non-empty texts, the row range and line measures."""
-    single, many = _keyed(rows)
     keep = ["file", "draft_key", "m", *_FIRST_OF, *_MEASURES]
     alone = _line_measures(single).select(
         *keep,
@@ -182,17 +187,17 @@ def _groups(rows: DataFrame) -> DataFrame:
         F.lit(False).alias("grouped"),
         F.col("line").alias("own_line"),
     )
-    # The mapping is the same for every row of a file, so any copy of it will do.
+    # The mapping is joined again afterwards rather than carried through the aggregation.
     gathered = (
         _line_measures(many)
         .groupBy("file", "draft_key")
         .agg(
             F.min("row_no").alias("first_row"),
             F.count(F.lit(1)).alias("row_count"),
-            F.any_value("m").alias("m"),
             *[F.expr(f"coalesce(min_by({c}, row_no) FILTER (WHERE {c} <> ''), '')").alias(c) for c in _FIRST_OF],
             *[F.sum(c).cast(t).alias(c) for c, t in _MEASURES.items()],
         )
+        .join(mapping, "file")
         .select(
             *keep, "first_row", "row_count", F.lit(True).alias("grouped"),
             F.lit(None).cast(RAW_LINE_DDL).alias("own_line"),
@@ -201,9 +206,9 @@ def _groups(rows: DataFrame) -> DataFrame:
     return alone.unionByName(gathered)
 
 
-def group_rows(rows: DataFrame) -> DataFrame:
+def group_rows(rows: Rows) -> DataFrame:
     """Drafts of each file as row groups: file, draft_key, first_row, row_count, first values."""
-    return _groups(rows).select("file", "draft_key", "first_row", "row_count", *_FIRST_OF)
+    return _groups(*_keyed(rows), rows.mapping).select("file", "draft_key", "first_row", "row_count", *_FIRST_OF)
 
 
 # ------------------------------------------------------------------ groups to drafts
@@ -410,11 +415,11 @@ def _finish(groups: DataFrame, as_of: date) -> DataFrame:
     )
 
 
-def convert(rows: DataFrame, as_of: date | None = None) -> Drafts:
+def convert(rows: Rows, as_of: date | None = None) -> Drafts:
     """All drafts of all files. `as_of` stands in for today wherever a date is missing or compared."""
     as_of = as_of or date.today()
-    headers = _finish(_groups(rows), as_of)
     single, many = _keyed(rows)
+    headers = _finish(_groups(single, many, rows.mapping), as_of)
     keyed = [
         part.select("file", "draft_key", "row_no", "line", F.lit(grouped).alias("grouped"))
         for part, grouped in ((single, False), (many, True))
@@ -475,10 +480,10 @@ def nest(drafts: Drafts, limit: int = NEST_LIMIT) -> DataFrame:
 # ------------------------------------------------------------------ per-file reports
 
 
-def file_warnings(rows: DataFrame, as_of: date | None = None) -> DataFrame:
+def file_warnings(rows: Rows, as_of: date | None = None) -> DataFrame:
     """Whole-file problems: file, warnings. One pass of partial aggregates over the rows."""
     m = F.col("m")
-    dated = with_dates(rows, {"_issued": "invoice_date", "_due": "due_date"}, m["date_format"], as_of)
+    dated = with_dates(rows.frame, {"_issued": "invoice_date", "_due": "due_date"}, m["date_format"], as_of)
     unread = [
         F.when((F.col(text) != "") & F.col(parsed).isNull(), 1).otherwise(0)
         for text, parsed in (("invoice_date", "_issued"), ("due_date", "_due"))
@@ -511,9 +516,9 @@ def file_warnings(rows: DataFrame, as_of: date | None = None) -> DataFrame:
     return per_file.select("file", "skipped", "unreadable", F.array_compact(F.array(*warnings)).alias("warnings"))
 
 
-def preview_summary(rows: DataFrame, headers: DataFrame) -> DataFrame:
+def preview_summary(rows: Rows, headers: DataFrame) -> DataFrame:
     """Per file: source rows, drafts found, drafts that need review."""
-    counted = rows.groupBy("file").agg(F.count(F.lit(1)).alias("row_count"))
+    counted = rows.frame.groupBy("file").agg(F.count(F.lit(1)).alias("row_count"))
     found = headers.groupBy("file").agg(
         F.count(F.lit(1)).alias("drafts"), F.count_if("needs_review").alias("flagged")
     )
