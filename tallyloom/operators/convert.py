@@ -89,12 +89,20 @@ class Rows:
     mapping: DataFrame
 
 
-def rows_from_cells(cells: DataFrame, mapping: DataFrame) -> Rows:
-    """Look every mapped column up in the cell map: file, row_no, m, one text column per field.
+BROADCAST_BYTES = 32 * 1024 * 1024
 
-    The mapping side has one row per file; whether it is broadcast is left to its measured size.
-    """
-    structs = mapping.select("file", F.struct(*[c for c in mapping.columns if c != "file"]).alias("m"))
+
+def _sized(mapping: DataFrame) -> DataFrame:
+    """Broadcast the mapping table only after measuring it; a larger one is joined by shuffle."""
+    size = mapping.agg(F.sum(F.octet_length(F.to_json(F.struct(*mapping.columns))))).first()[0] or 0
+    return F.broadcast(mapping) if size <= BROADCAST_BYTES else mapping
+
+
+def rows_from_cells(cells: DataFrame, mapping: DataFrame) -> Rows:
+    """Look every mapped column up in the cell map: file, row_no, m, one text column per field."""
+    structs = _sized(
+        mapping.select("file", F.struct(*[c for c in mapping.columns if c != "file"]).alias("m"))
+    )
     m = F.col("m")
     values = [F.coalesce(F.col("cells")[m[name]], F.lit("")).alias(name) for name in MAPPED_FIELDS]
     return Rows(cells.join(structs, "file").select("file", "row_no", "m", *values), structs)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.cells import CURRENCY_SYMBOLS, is_code, symbol_code
-from tallyloom.functions.text import blank_to_empty, norm_key, quoted, strip, tokens
+from tallyloom.functions.text import blank_to_empty, norm_key, quoted, tokens
 from tallyloom.operators.numbering import ensure_checkpoint_dir
 from tallyloom.schema import LINE_FIELDS, MAPPED_FIELDS, MAPPING, MONEY_FIELDS, STATUSES
 
@@ -135,10 +135,8 @@ def sniff_sample(cells: DataFrame) -> DataFrame:
 
 
 def sample_values(sample: Column, header: Column) -> Column:
-    """Non-blank cells of one column, in row order."""
-    return F.filter(
-        F.transform(sample, lambda row: strip(F.coalesce(row[header], F.lit("")))), lambda v: v != ""
-    )
+    """Non-blank cells of one column, in row order; staged cells are trimmed already."""
+    return F.filter(F.transform(sample, lambda row: row[header]), lambda v: v != "")
 
 
 def _is_json_list(value: Column) -> Column:
