@@ -13,7 +13,7 @@ from tallyloom.functions.text import WHITESPACE
 from tallyloom.operators import convert as C
 from tallyloom.operators import mapping as M
 from tallyloom.operators.dedup import bulk_outcome
-from tallyloom.operators.numbering import ensure_checkpoint_dir, number_rows, ordered_positions
+from tallyloom.operators.numbering import number_rows, ordered_positions
 from tallyloom.operators.synth import synthetic_invoices
 from tallyloom.operators.validate import (
     line_review_notes,
@@ -36,7 +36,7 @@ from tallyloom.plans.views import (
 )
 from tallyloom.schema import MAPPED_FIELDS
 from tallyloom.sources.intake import classify, parse_records, text_gate
-from tallyloom.sources.staging import Staged, clean_headers, decoded_files, from_dataframe, stage_decoded
+from tallyloom.sources.staging import Staged, clean_headers, decode_exports, from_dataframe, stage_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -502,16 +502,15 @@ ord AS (
 
 
 def staged_orders(spark: SparkSession, sf: str) -> Staged:
-    """Every rendered file decoded and staged. Decoding is fixed once: three frames come from it."""
-    ensure_checkpoint_dir(spark)
-    return stage_decoded(decoded_files(rendered_files(spark, sf)).checkpoint())
+    """Every rendered file decoded and staged once; three frames come from it."""
+    return stage_files(rendered_files(spark, sf))
 
 
 @query(f"""WITH {ORD} SELECT file, row_no, CASE layout WHEN 0 THEN 10 WHEN 1 THEN 6 WHEN 2 THEN 11 ELSE 4 END AS n_headers,
 number, CASE layout WHEN 0 THEN strftime(day, '%d/%m/%Y') WHEN 3 THEN strftime(day, '%m/%d/%Y') ELSE CAST(day AS VARCHAR) END AS day_text,
 CASE layout WHEN 2 THEN email END AS email FROM ord""")
 def q_staged_files(spark, sf):
-    staged = stage_decoded(decoded_files(rendered_files(spark, sf)))
+    staged = decode_exports(rendered_files(spark, sf))
     cell = F.col("cells")
 
     def first(*names: str) -> Column:
@@ -553,7 +552,7 @@ pairs AS (SELECT header, target, CASE
 best AS (SELECT header, target, max(score) AS score FROM pairs GROUP BY ALL HAVING max(score) > 0)
 SELECT file, target, heads.header AS header, CAST(score AS INTEGER) AS score FROM heads JOIN best ON heads.header = best.header""")
 def q_header_scores(spark, sf):
-    staged = stage_decoded(decoded_files(rendered_files(spark, sf)))
+    staged = decode_exports(rendered_files(spark, sf))
     return M.header_scores(staged.headers).select("file", "target", "header", "score")
 
 

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import convert as C
 from tallyloom.operators import mapping as M
-from tallyloom.operators.numbering import ensure_checkpoint_dir
-from tallyloom.sources.staging import Staged, decoded_files, stage_decoded
+from tallyloom.sources.staging import Staged, stage_files
 
 
 @dataclass(frozen=True)
@@ -42,8 +41,7 @@ def preview_staged(staged: Staged, supplied: DataFrame | None = None, as_of: dat
 
 def preview_files(files: DataFrame, supplied: DataFrame | None = None, as_of: date | None = None) -> Preview:
     """Preview rows of (path, content). Files are decoded once, into the shared checkpoint folder."""
-    ensure_checkpoint_dir(files.sparkSession)
-    return preview_staged(stage_decoded(decoded_files(files).checkpoint()), supplied, as_of)
+    return preview_staged(stage_files(files), supplied, as_of)
 
 
 def long_lines(preview: Preview, drafts: DataFrame) -> DataFrame:
