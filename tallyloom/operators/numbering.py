@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
@@ -46,12 +47,16 @@ def number_rows(
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a private one only where none is set."""
+    """The shared folder the cluster names. Where none is set, a private one on one machine, an error on a cluster."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyloom-checkpoint-"))
+        if named is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="tallyloom-checkpoint-")
+        context.setCheckpointDir(named)
         current = context.getCheckpointDir()
     return current
 
