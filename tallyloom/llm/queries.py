@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.llm import oracles
 from tallyloom.llm.common import table
+from tallyloom.llm.license_join import find_licenses
+from tallyloom.llm.quality_rules import judge
 from tallyloom.llm.simhash import near_duplicates
 from tallyloom.llm.suffix_dedup import remove_repeats
 
@@ -15,17 +18,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(sql: str | None = None):
+    def register(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLE[fn.__name__] = sql
+        return fn
 
+    return register
 
-@query
+
+@query()
 def op2_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_distance=2)
     return linked.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-@query
+@query(oracles.QUALITY)
+def op5_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), host="source").drop("host_rejected")
+
+
+@query()
 def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=400).drop("spans")
+
+
+@query(oracles.LICENSES)
+def op8_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_licenses(table(spark, sf_dir, "documents")).drop("matches")
