@@ -78,3 +78,21 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, l
   greatest(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END, coalesce(best, 0.0))::DOUBLE AS score
 FROM w LEFT JOIN b ON w.row = b.row LEFT JOIN g ON w.row = g.row
 """
+
+LEAKS = f"""
+WITH w AS (SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all({_LOWER.format(x="coalesce(text, '')")}, '{WORD}') AS ws FROM documents),
+i AS (SELECT item_id, ws, least(10, len(ws)) AS k
+  FROM (SELECT item_id, regexp_extract_all({_LOWER.format(x="coalesce(text, '')")}, '{WORD}') AS ws FROM benchmark)),
+iw AS (SELECT DISTINCT item_id, k, array_to_string(ws[s:s + k - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS s FROM i WHERE k > 0)),
+ks AS (SELECT DISTINCT k FROM iw),
+dw AS (SELECT row, s, k, array_to_string(ws[s:s + k - 1], ' ') AS g
+  FROM (SELECT row, ws, k, unnest(range(1, len(ws) - k + 2)) AS s FROM w CROSS JOIN ks WHERE len(ws) >= k)),
+h AS (SELECT row, item_id, s, dw.k AS k FROM dw JOIN iw ON dw.k = iw.k AND dw.g = iw.g),
+p AS (SELECT row, count(DISTINCT place) AS n FROM (SELECT row, unnest(range(s, s + k)) AS place FROM h) GROUP BY row),
+t AS (SELECT row, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM h GROUP BY row)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, n IS NOT NULL AS contaminated
+FROM w LEFT JOIN p ON w.row = p.row LEFT JOIN t ON w.row = t.row
+"""

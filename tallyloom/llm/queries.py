@@ -13,6 +13,7 @@ from tallyloom.llm.license_join import find_licenses
 from tallyloom.llm.quality_rules import judge
 from tallyloom.llm.simhash import near_duplicates
 from tallyloom.llm.suffix_dedup import remove_repeats
+from tallyloom.llm.winnowing import contamination
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,3 +48,9 @@ def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracles.LICENSES)
 def op8_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_licenses(table(spark, sf_dir, "documents")).drop("matches")
+
+
+@query(oracles.LEAKS)
+def op9_winnowing_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=10, gram=5)
+    return found.drop("items", "spans")
