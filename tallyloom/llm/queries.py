@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm import oracles
 from tallyloom.llm.common import table
 from tallyloom.llm.license_join import find_licenses
+from tallyloom.llm.mixing import mix
 from tallyloom.llm.quality_rules import judge
 from tallyloom.llm.simhash import near_duplicates
 from tallyloom.llm.suffix_dedup import remove_repeats
@@ -29,6 +30,12 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"), cycle=(3, 1, 2), share=1.5, max_epochs=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "repeats", "extra")
+
+
 @query()
 def op2_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_distance=2)
