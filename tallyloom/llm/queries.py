@@ -14,6 +14,7 @@ from tallyloom.llm.mixing import mix
 from tallyloom.llm.quality_rules import judge
 from tallyloom.llm.simhash import near_duplicates
 from tallyloom.llm.suffix_dedup import remove_repeats
+from tallyloom.llm.warc_zip import through_packages
 from tallyloom.llm.winnowing import contamination
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +62,9 @@ def op8_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_winnowing_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=10, gram=5)
     return found.drop("items", "spans")
+
+
+@query(oracles.RECORDS)
+def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = through_packages(table(spark, sf_dir, "pages"), min_bytes=0)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
