@@ -15,7 +15,8 @@ Bytes. A string that starts at p is judged at the first sampled position at p +
 judged at one position share its core bytes; each is its core with some bytes to the left and the rest to the
 right. Cores that occur once are dropped. Positions of equal core and equal edges form a class; if there are
 two of them all their strings repeat. Where a core has several classes, each class writes its strings out once
-and those that two classes share repeat. Comparisons are of 128-bit hashes of the whole strings.
+and those that two classes share repeat. Cores are compared by a 64-bit hash, what lies around them by its bytes or
+their 128-bit hash.
 
 Skew: ranks of a passage that a third of all texts hold are a few of the many ranks of those texts, and
 windows over them only look at their two ends. Copies of one text count once. No group is gathered; the
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import Bloom, bloom_of, map_batches, settle, texts_of
+from tallyloom.llm.common import Bloom, bloom_of, discard, map_batches, settle, texts_of
 
 #: Bytes of text that are worked on at once inside a task.
 _BLOCK = 1 << 21
@@ -180,9 +181,11 @@ def repeated_positions(hashed: DataFrame, phrases: int) -> DataFrame:
         )
         # What lies between repeats too if the whole run does.
         paired = paired.where(F.col("next_idx") == F.col("idx") + offset)
+        before = ranked
         ranked = settle(_repeated(paired.select("id", "idx", F.xxhash64("rank", "next").alias("rank"))), "suffix-ranks")
+        discard(before)
         covered += offset
-    return ranked.select("id", "idx")
+    return ranked
 
 
 def _texts_with(docs: DataFrame, wanted: DataFrame, bloom: Bloom) -> DataFrame:
@@ -230,7 +233,7 @@ def _edges_of(texts: DataFrame, s: Sampling) -> DataFrame:
     def run(batch):
         tids, idxs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2))
         out: list[tuple] = []
-        digest = xxhash.xxh3_128_digest
+        digest = xxhash.xxh3_64_intdigest
         for first, group in _blocks(texts):
             _, bounds, places, cuts = _positions(group, s)
             for k, text in enumerate(group):
@@ -244,10 +247,10 @@ def _edges_of(texts: DataFrame, s: Sampling) -> DataFrame:
                     low = max(0, at - (w - 1) - (n - s.length))
                     if low > high:
                         continue
-                    out.append((tid, at, digest(text[at + a : at + b]), text[at + a - high : at + a], text[at + b : at + b + w - 1 - low], low, high))
+                    out.append((tid, at, digest(text[at + a : at + b]) - (1 << 63), text[at + a - high : at + a], text[at + b : at + b + w - 1 - low], low, high))
         for i in range(0, len(out), 50_000):
             cols = list(zip(*out[i : i + 50_000]))
-            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
             yield pa.record_batch(
                 [pa.array(c, t) for c, t in zip(cols, kinds)], ["tid", "at", "core", "left", "right", "low", "high"]
             )
@@ -255,15 +258,15 @@ def _edges_of(texts: DataFrame, s: Sampling) -> DataFrame:
     return map_batches(
         texts.select("tid", "idxs", "text"),
         run,
-        "tid long, at int, core binary, left binary, right binary, low int, high int",
+        "tid long, at int, core long, left binary, right binary, low int, high int",
     )
 
 
-def _masks(edges: DataFrame, w: int) -> DataFrame:
-    """(tid, at, mask): bit d of the mask is set if the string with d bytes left of the core repeats."""
+def _masks(edges: DataFrame, w: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(tid, at, mask): bit d of the mask is set if the string with d bytes left of the core repeats; the settled tables below."""
     place = F.xxhash64("tid", "at")
     same = Window.partitionBy("core")
-    edges = edges.withColumn("class", F.md5(F.concat("core", F.encode(F.concat_ws(":", "low", "high", F.length("left")), "utf-8"), "left", "right")))
+    edges = edges.withColumn("class", F.xxhash64("core", "low", "high", "left", "right"))
     edges = settle(
         edges.withColumn("repeats", F.min(place).over(same) != F.max(place).over(same)).where("repeats").drop("repeats"),
         "suffix-edges",
@@ -276,32 +279,27 @@ def _masks(edges: DataFrame, w: int) -> DataFrame:
     classes = settle(classes.withColumn("several", several), "suffix-classes")
     # Bits low..high, without shifting by 64.
     whole = F.expr("shiftleft(shiftrightunsigned(-1L, 63 - (high - low)), low)")
-    full = classes.where("twice").select("class", whole.alias("mask"))
+    full = classes.where("twice").select("core", "class", whole.alias("mask"))
     strings = classes.where("several").select(
-        "class", "twice", "core", "left", "right", F.explode(F.sequence("low", "high")).alias("d")
-    )
-    string = F.md5(
-        F.concat(
-            "core",
-            F.encode(F.col("d").cast("string"), "utf-8"),
-            F.expr("substring(left, length(left) - d + 1, d)"),
-            F.expr(f"substring(right, 1, {w - 1} - d)"),
-        )
+        "core", "class", "twice", "left", "right", F.explode(F.sequence("low", "high")).alias("d")
     )
-    strings = strings.select("class", "twice", "d", string.alias("string"))
-    alike = Window.partitionBy("string")
+    # The bytes around the core name the string, and the core tells it from others.
+    around = F.concat(F.expr("substring(left, length(left) - d + 1, d)"), F.expr(f"substring(right, 1, {w - 1} - d)"))
+    strings = strings.select("core", "class", "twice", "d", F.unhex(F.md5(around)).alias("around"))
+    alike = Window.partitionBy("core", "d", "around")
     shared = (
         strings.withColumn("shared", F.min("class").over(alike) != F.max("class").over(alike))
         .where("shared and not twice")
-        .groupBy("class")
+        .groupBy("core", "class")
         .agg(F.bit_or(F.expr("shiftleft(1L, d)")).alias("mask"))
     )
-    return edges.select("tid", "at", "class").join(full.unionByName(shared), "class").select("tid", "at", "mask")
+    masks = edges.select("tid", "at", "core", "class").join(full.unionByName(shared), ["core", "class"]).select("tid", "at", "mask")
+    return masks, [edges, classes]
 
 
 def _cut(texts: DataFrame, s: Sampling) -> DataFrame:
     """(th, n_removed, n_spans, kept_sha256, spans) of texts with their masks."""
-    w = s.w
+    w, bits = s.w, np.arange(s.w, dtype=np.uint64)
 
     def run(batch):
         rows = []
@@ -310,10 +308,10 @@ def _cut(texts: DataFrame, s: Sampling) -> DataFrame:
             turn = np.zeros(n + 1, np.int32)
             at = np.array([x["at"] for x in hits], np.int64)
             mask = np.array([x["mask"] for x in hits], np.int64).view(np.uint64)
-            for d in range(w):
-                starts = at[(mask >> np.uint64(d)) & np.uint64(1) == 1] - (w - 1) - d
-                np.add.at(turn, starts, 1)
-                np.add.at(turn, starts + s.length, -1)
+            string, d = np.nonzero((mask[:, None] >> bits[None, :]) & np.uint64(1))
+            starts = np.unique(at[string] - (w - 1) - d)
+            turn[starts] += 1
+            turn[starts + s.length] -= 1
             gone = np.cumsum(turn[:-1]) > 0
             edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
             kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
@@ -337,20 +335,24 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     `spans` holds the removed runs as start, end, start, end, ... in bytes of the text.
     """
     s = Sampling(length)
-    hashed = settle(with_phrases(docs, s), "suffix-texts")
-    positions = repeated_positions(hashed, s.phrases)
+    phrased = settle(with_phrases(docs, s), "suffix-phrases")
+    hashed = settle(phrased.drop("phrases"), "suffix-texts")
+    positions = repeated_positions(phrased, s.phrases)
+    discard(phrased)
     wanted = settle(_wanted(hashed, positions), "suffix-wanted")
     bloom = bloom_of(wanted, "key")
     by_text = positions.groupBy("id").agg(F.collect_list("idx").alias("idxs"))
     texts = _texts_with(docs, wanted, bloom).join(by_text, "id")
     texts = settle(texts.select(F.monotonically_increasing_id().alias("tid"), "th", "idxs", "text"), "suffix-wanted-texts")
-    masks = _masks(_edges_of(texts, s), s.w)
+    discard(positions, wanted)
+    masks, below = _masks(_edges_of(texts, s), s.w)
     hits = masks.groupBy("tid").agg(F.collect_list(F.struct("at", "mask")).alias("hits"))
     cut = _cut(texts.join(hits, "tid"), s)
     # Texts that passed the filter by chance, or rows repeated with their id, give one line each.
     cut = settle(cut.dropDuplicates(["th"]), "suffix-cut")
+    discard(texts, *below)
     copies = hashed.groupBy("th").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    out = hashed.drop("phrases", "id").join(cut, "th", "left").join(copies, "th", "left")
+    out = hashed.drop("id").join(cut, "th", "left").join(copies, "th", "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     return out.select(
