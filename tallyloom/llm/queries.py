@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import oracles
+from tallyloom.llm import oracles, quality_cnn, toxicity_zstd
 from tallyloom.llm.common import table
+from tallyloom.llm.learning import remainder
 from tallyloom.llm.license_join import find_licenses
 from tallyloom.llm.mixing import mix
 from tallyloom.llm.quality_rules import judge
@@ -43,6 +44,25 @@ def op2_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _scored(scores: DataFrame, held_out) -> DataFrame:
+    predicted = F.when(F.col("score") >= 0.3, 1).otherwise(0).cast("int")
+    return scores.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query()
+def op3_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder("doc_id", 5) == 0
+    scores = quality_cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return _scored(scores, held_out)
+
+
+@query()
+def op4_toxicity_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder("doc_id", 4) == 2
+    scores = toxicity_zstd.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return _scored(scores, held_out)
+
+
 @query(oracles.QUALITY)
 def op5_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), host="source").drop("host_rejected")
