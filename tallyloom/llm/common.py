@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +64,28 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+#: Bytes that separate words become spaces, ASCII capitals small letters; all bytes over 7F belong to words.
+_WORDS = bytes(
+    c | 0x20 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256)
+)
+_CACHE = 400_000
+
+
+def words_of(raw: bytes) -> list[bytes]:
+    """Words of a UTF-8 text in small ASCII letters."""
+    return raw.translate(_WORDS).split()
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, remembered up to a bound. 0 and 1 are no word's hash."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > _CACHE:
+            self.clear()
+        value = self[word] = max(xxhash.xxh3_64_intdigest(word), 2)
+        return value
+
+
 # ------------------------------------------------------------------ Bloom filter
 
 

@@ -12,6 +12,7 @@ from tallyloom.llm.common import table
 from tallyloom.llm.learning import remainder
 from tallyloom.llm.license_join import find_licenses
 from tallyloom.llm.mixing import mix
+from tallyloom.llm.pii_disclosure import disclosures, listed
 from tallyloom.llm.quality_rules import judge
 from tallyloom.llm.simhash import near_duplicates
 from tallyloom.llm.suffix_dedup import remove_repeats
@@ -73,6 +74,11 @@ def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=400).drop("spans")
 
 
+@query()
+def op7_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listed(disclosures(table(spark, sf_dir, "documents")))
+
+
 @query(oracles.LICENSES)
 def op8_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_licenses(table(spark, sf_dir, "documents")).drop("matches")
@@ -81,7 +87,7 @@ def op8_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracles.LEAKS)
 def op9_winnowing_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=10, gram=5)
-    return found.drop("items", "spans")
+    return found.drop("row", "items", "spans")
 
 
 @query(oracles.RECORDS)

@@ -47,14 +47,16 @@ def fingerprint(raw: bytes, shingle: int = 3) -> int:
     return sum(1 << int(b) for b in np.flatnonzero(2 * ones > len(hashes)))
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed long."""
+def with_fingerprints(docs: DataFrame, shingle: int = 3, row: str | None = None) -> DataFrame:
+    """(row, doc_id, fp): the fingerprint of every whole text as a signed long; row is null unless a column is named."""
 
     def run(batch):
-        prints = np.array([fingerprint(x, shingle) for x in texts_of(batch.column(1))], np.uint64)
-        yield pa.record_batch([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        prints = np.array([fingerprint(x, shingle) for x in texts_of(batch.column(2))], np.uint64)
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], ["row", "doc_id", "fp"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
+    number = F.col(row) if row else F.lit(None)
+    columns = docs.select(number.cast("long").alias("row"), F.col("doc_id").cast("long"), "text")
+    return map_batches(columns, run, "row long, doc_id long, fp long")
 
 
 def ball_keys(fp: str, segments: int = 2) -> Column:
@@ -82,14 +84,24 @@ def links(fingerprints: DataFrame, max_distance: int = 2) -> DataFrame:
     return tied.where(f"bit_count(fp ^ least) <= {max_distance}").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id): each row's fingerprint and the smallest doc_id its links reach."""
-    prints = settle(with_fingerprints(docs, shingle), "simhash-prints")
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2, row: str | None = None) -> DataFrame:
+    """(row, doc_id, fp, root, component_id) of every row.
+
+    `root` names the component by its smallest fingerprint, component_id is the smallest doc_id in it. `row` is
+    passed on from the column so named.
+    """
+    prints = settle(with_fingerprints(docs, shingle, row), "simhash-prints")
     values = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(links(values.select("fp"), max_distance), "simhash-links")
     rooted = values.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
     firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labelled = rooted.join(firsts, "root").select("fp", "component_id")
-    return prints.join(labelled, "fp").select("doc_id", "fp", "component_id")
+    labelled = rooted.join(firsts, "root").select("fp", "root", "component_id")
+    return prints.join(labelled, "fp").select("row", "doc_id", "fp", "root", "component_id")
+
+
+def one_of_each(linked: DataFrame) -> DataFrame:
+    """(row): of each component the row with the smallest doc_id, rows without one last."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    return linked.groupBy("root").agg(first).select("first.row")

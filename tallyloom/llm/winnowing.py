@@ -21,32 +21,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import Bloom, bloom_of, map_batches, settle, texts_of
+from tallyloom.llm.common import Bloom, WordHashes, bloom_of, map_batches, settle, texts_of, words_of
 
-#: Bytes that separate words become spaces, ASCII capitals small letters; all bytes over 7F belong to words.
-_WORDS = bytes(
-    c | 0x20 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256)
-)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_CACHE = 400_000
-
-
-class _Hashes(dict):
-    """Hashes of words, remembered up to a bound. 0 and 1 stand for places outside a text or item."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _CACHE:
-            self.clear()
-        value = self[word] = max(xxhash.xxh3_64_intdigest(word), 2)
-        return value
-
-
-def word_hashes(raw: bytes, known: _Hashes) -> np.ndarray:
-    words = raw.translate(_WORDS).split()
+def word_hashes(raw: bytes, known: WordHashes) -> np.ndarray:
+    words = words_of(raw)
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
@@ -98,7 +80,7 @@ def item_prints(items: DataFrame, span: int, gram: int) -> DataFrame:
     """(item_id, size, fp, around): fingerprints of items, with the words around them."""
 
     def run(batch):
-        known = _Hashes()
+        known = WordHashes()
         ids, sizes, prints, around = [], [], [], []
         for item, raw in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
             words = word_hashes(raw, known)
@@ -126,13 +108,13 @@ def item_prints(items: DataFrame, span: int, gram: int) -> DataFrame:
     )
 
 
-def text_prints(docs: DataFrame, bloom: Bloom, short: list[int], span: int, gram: int) -> DataFrame:
-    """(doc_id, n_words, size, fp, place, around): a text's words, and its fingerprints that some item may have."""
+def text_prints(docs: DataFrame, bloom: Bloom, short: list[int], span: int, gram: int, row: str | None = None) -> DataFrame:
+    """(row, doc_id, n_words, size, fp, place, around): a text's words, and its fingerprints that some item may have."""
 
     def run(batch):
-        known = _Hashes()
+        known = WordHashes()
         counts, lengths, sizes, prints, places, around = [], [], [], [], [], []
-        for raw in texts_of(batch.column(1)):
+        for raw in texts_of(batch.column(2)):
             words = word_hashes(raw, known)
             counts.append(len(words))
             before = len(sizes)
@@ -162,14 +144,14 @@ def text_prints(docs: DataFrame, bloom: Bloom, short: list[int], span: int, gram
             _longs(around),
         ]
         yield pa.record_batch(
-            [batch.column(0), pa.array(counts, pa.int64()), *[pa.ListArray.from_arrays(cuts, c) for c in columns]],
-            ["doc_id", "n_words", "size", "fp", "place", "around"],
+            [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), *[pa.ListArray.from_arrays(cuts, c) for c in columns]],
+            ["row", "doc_id", "n_words", "size", "fp", "place", "around"],
         )
 
     return map_batches(
-        docs.select(F.col("doc_id").cast("long"), "text"),
+        docs.select((F.col(row) if row else F.lit(None)).cast("long").alias("row"), F.col("doc_id").cast("long"), "text"),
         run,
-        "doc_id long, n_words long, size array<int>, fp array<long>, place array<int>, around array<array<long>>",
+        "row long, doc_id long, n_words long, size array<int>, fp array<long>, place array<int>, around array<array<long>>",
     )
 
 
@@ -203,15 +185,17 @@ def _extend(pairs: DataFrame, span: int, gram: int) -> DataFrame:
     return map_batches(pairs, run, "row long, item_id string, start long, stop long")
 
 
-def contamination(docs: DataFrame, items: DataFrame, span: int = 10, gram: int = 5) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items, items_sha256, contaminated, spans) of every row of docs.
+def contamination(docs: DataFrame, items: DataFrame, span: int = 10, gram: int = 5, row: str | None = None) -> DataFrame:
+    """(row, doc_id, n_words, n_hit, n_items, items, items_sha256, contaminated, spans) of every row of docs.
 
-    `spans` lists the marked runs as (start, stop) in words.
+    `spans` lists the marked runs as (start, stop) in words; `row` is passed on from the column so named, else a number.
     """
     known = settle(item_prints(items, span, gram), "winnow-items")
     short = sorted(r[0] for r in known.where(F.col("size") < span).select("size").distinct().collect())  # under `span` values
     bloom = bloom_of(known, "fp")
-    base = text_prints(docs, bloom, short, span, gram).select(F.monotonically_increasing_id().alias("row"), "*")
+    base = text_prints(docs, bloom, short, span, gram, row)
+    if row is None:
+        base = base.withColumn("row", F.monotonically_increasing_id())
     base = settle(base, "winnow-texts")
     hits = base.select("row", F.explode(F.arrays_zip("size", "fp", "place", "around")).alias("h")).select("row", "h.*")
     pairs = hits.join(known.withColumnRenamed("around", "item_around"), ["fp", "size"])
@@ -226,6 +210,7 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = 10, gram: int =
     out = base.select("row", "doc_id", "n_words").join(n_hit.join(found, "row").join(where, "row"), "row", "left")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
+        "row",
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
