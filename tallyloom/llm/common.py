@@ -160,7 +160,7 @@ def bloom_of(keys: DataFrame, column: str, max_bytes: int = 1 << 22, probes: int
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """(node, root): root is the smallest node reachable over the undirected edges (a, b) of longs.
+    """(node, root) of every node but the roots: root is the smallest node reachable over the undirected edges (a, b) of longs.
 
     Alternating large-star and small-star rounds. A node's smallest neighbour comes from a map-side
     combined minimum and a join, so no task gathers the neighbours of a node. The driver sees two
