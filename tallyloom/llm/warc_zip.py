@@ -1,10 +1,10 @@
 """WARC records in ZIP packages: a writer, and a reader that reads records by their byte ranges.
 
-A package is a ZIP file whose members are stored, not compressed: `archive/data.warc` with the records one after
-the other and `indexes/index.cdx` with a line (offset, length, record id) for each. Nothing is extracted: the
+A package is a ZIP file whose members are stored, not compressed: `archive/data.warc.gz` with the records one after
+the other, each zipped by itself, and `indexes/index.cdx` with a line (offset, length, record id) for each. Nothing is extracted: the
 reader finds the end record (and the ZIP64 end record where one is needed), reads the central directory, finds
-where the stored members lie, reads the index and then ranges of the records it names. A package without an index
-is read record by record from the member's start.
+where the stored members lie, reads the index and then ranges of the records it names. A package of plain
+records without an index is read record by record from the member's start.
 
 Records with equal payloads of `min_bytes` or more are stored once: that with the largest page_id is a response,
 the others are revisits without payload that refer to it. Their HTTP headers keep the payload's length, their WARC
@@ -22,6 +22,7 @@ repeat page_id and html one is the response. Other columns are ignored; an empty
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import struct
@@ -30,14 +31,15 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import settle, shared_path
+from tallyloom.llm.common import Bloom, bloom_of, map_batches, settle, shared_path
 
-DATA, INDEX = "archive/data.warc", "indexes/index.cdx"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 ROLL_BYTES = 16 << 20
 READ_BYTES = 4 << 20
 _MAX32, _MAX16 = 0xFFFFFFFF, 0xFFFF
@@ -82,6 +84,10 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def _unzipped(raw: bytes) -> bytes:
+    return gzip.decompress(raw) if raw.startswith(b"\x1f\x8b") else raw
+
+
 def parse_record(raw: bytes) -> dict:
     """A record's fields; the payload of a response is checked against its digest."""
     if not raw.startswith(b"WARC/"):
@@ -192,8 +198,12 @@ class Package:
 
     def records(self) -> Iterator[bytes]:
         for name in self.members:
-            if name.endswith(".warc"):
-                yield from self._indexed(name) if INDEX in self.members else self._scanned(name)
+            if name.endswith((".warc", ".warc.gz")) and INDEX in self.members:
+                yield from map(_unzipped, self._indexed(name))
+            elif name.endswith(".warc"):
+                yield from self._scanned(name)
+            elif name.endswith(".warc.gz"):
+                raise ValueError(f"{name} holds zipped records, which only an index can tell apart")
 
     def _indexed(self, name: str) -> Iterator[bytes]:
         start, size = self.start_of(INDEX)
@@ -226,22 +236,53 @@ class Package:
 # ------------------------------------------------------------------ Spark
 
 
+def _payload() -> Column:
+    return F.coalesce(F.col("html"), F.lit("")).cast("binary")
+
+
+def _key(sha1: bytes) -> int:
+    return int.from_bytes(sha1[:8], "big", signed=True)
+
+
+def _repeating(pages: DataFrame, bloom: Bloom, wanted: bool) -> DataFrame:
+    """Rows (page_id, url, payload, sha1) whose payload may repeat, or the others."""
+
+    def run(batch):
+        sha1 = [hashlib.sha1(x).digest() for x in batch.column(2).to_pylist()]
+        hits = bloom.hits(np.array([_key(x) for x in sha1], np.int64).view(np.uint64))
+        whole = pa.record_batch([*batch.columns, pa.array(sha1, pa.binary())], ["page_id", "url", "payload", "sha1"])
+        yield whole.filter(pa.array(hits == wanted))
+
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), _payload().alias("payload"))
+    return map_batches(rows, run, "page_id long, url string, payload binary, sha1 binary")
+
+
 def classified(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, url, payload, record_type, refers_to) of every row."""
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
-    rows = settle(rows.withColumn("sha1", F.unhex(F.sha1("payload"))), "warc-pages")
+    """(page_id, url, payload, record_type, refers_to) of every row.
+
+    Digests are counted without payloads. Rows whose digest occurs once, as a Bloom filter of bounded size tells, go
+    straight on; only the others are settled and meet the rest of their group.
+    """
+    payload = _payload()
+    digests = pages.where(F.length(payload) >= min_bytes).select(F.sha1(payload).alias("sha1"))
+    twice = digests.groupBy("sha1").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    key = F.conv(F.substring("sha1", 1, 16), 16, -10).cast("long")
+    bloom = bloom_of(settle(twice.select(key.alias("key")), "warc-repeats"), "key")
+    alone = _repeating(pages, bloom, False).select(
+        "page_id", "url", "payload", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")
+    )
+    rows = settle(_repeating(pages, bloom, True).withColumn("row", F.monotonically_increasing_id()), "warc-pages")
     large = F.length("payload") >= min_bytes
-    chosen = rows.where(large).groupBy("sha1").agg(F.max(F.struct("page_id", "row")).alias("of"), F.count(F.lit(1)).alias("n"))
-    chosen = chosen.where("n > 1").select("sha1", "of")
+    chosen = rows.where(large).groupBy("sha1").agg(F.max(F.struct("page_id", "row")).alias("of"))
     again = large & F.col("of").isNotNull() & (F.col("row") != F.col("of.row"))
-    return rows.join(chosen, "sha1", "left").select(
+    met = rows.join(chosen, "sha1", "left").select(
         "page_id",
         "url",
         "payload",
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         F.when(again, F.col("of.page_id")).alias("refers_to"),
     )
+    return alone.unionByName(met)
 
 
 def write_packages(records: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, zip64_from: int = _MAX32) -> DataFrame:
@@ -263,7 +304,7 @@ def write_packages(records: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES
 
         for batch in batches:
             for page_id, url, payload, kind, refers_to in zip(*[c.to_pylist() for c in batch.columns]):
-                raw = record(kind, page_id, url, payload, digest_of(payload), refers_to)
+                raw = gzip.compress(record(kind, page_id, url, payload, digest_of(payload), refers_to), 6, mtime=0)
                 index.append(f"{len(data)} {len(raw)} {'' if page_id is None else page_id}\n")
                 data.extend(raw)
                 if len(data) >= roll_bytes:
