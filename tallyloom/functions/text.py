@@ -58,11 +58,17 @@ def contains_any(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def file_stem(name: Column) -> Column:
-    """File name without its extension, safe inside an invoice number, at most 40 characters."""
-    base = F.regexp_replace(F.when(name.isNull() | (name == ""), F.lit("import")).otherwise(name), r"\.[^.]*$", "")
-    dashed = F.regexp_replace(base, "[^A-Za-z0-9]+", "-")
-    stem = F.substring(F.trim(dashed, F.lit("-")), 1, 40)
-    return F.when(stem == "", F.lit("file")).otherwise(stem)
+    """File name without folder and extension, safe inside an invoice number.
+
+    At most 40 characters of it are kept. Where that cuts something off, or the name has a folder, six digits of the
+    whole path's hash tell it from others of the same name.
+    """
+    last = F.regexp_extract(name, r"([^/]*)$", 1)
+    base = F.regexp_replace(F.when(name.isNull() | (last == ""), F.lit("import")).otherwise(last), r"\.[^.]*$", "")
+    whole = F.trim(F.regexp_replace(base, "[^A-Za-z0-9]+", "-"), F.lit("-"))
+    stem = F.when(whole == "", F.lit("file")).otherwise(F.substring(whole, 1, 40))
+    mark = F.concat(F.lit("-"), F.substring(F.md5(name), 1, 6))
+    return F.concat(stem, F.when((F.length(whole) > 40) | F.contains(name, F.lit("/")), mark).otherwise(F.lit("")))
 
 
 def money_text(amount: Column) -> Column:

@@ -26,6 +26,7 @@ from tallyloom.operators.validate import (
     line_note_count,
     line_review_notes,
     opening_notes,
+    stored_line_note,
 )
 from tallyloom.schema import LINE_FIELDS, MAPPED_FIELDS, MONEY, RAW_LINE_DDL, RAW_MONEY, SUM_MONEY
 
@@ -476,7 +477,8 @@ def nest(drafts: Drafts, limit: int = NEST_LIMIT) -> DataFrame:
             }
         )
         return filled.withColumn(
-            "review_notes", F.concat("opening_notes", array_line_notes(F.col("line_items")), "closing_notes")
+            "review_notes",
+            F.concat("opening_notes", array_line_notes(F.col("line_items")), stored_line_note(filled), "closing_notes"),
         ).drop("_entries", "own_line", "other_lines", "opening_notes", "closing_notes", "grouped")
 
     no_entries = F.lit(None).cast(gathered.schema["_entries"].dataType)

@@ -104,13 +104,24 @@ def with_line_totals(df: DataFrame) -> DataFrame:
     return df.withColumns({"line_count": count, "line_sum": total})
 
 
+def stored_line_note(df: DataFrame) -> Column:
+    """For an invoice whose lines are kept in the line table: one note on how many of them have notes."""
+    none = F.array().cast("array<string>")
+    if "line_note_count" not in df.columns:
+        return none
+    noted = F.col("line_items").isNull() & (F.col("line_note_count") > 0)
+    text = F.concat(F.lit("The line table has "), F.col("line_note_count").cast("string"), F.lit(" note(s) on lines of this invoice."))
+    return F.when(noted, F.array(text)).otherwise(none)
+
+
 def with_review(df: DataFrame, require_lines: Column | bool = True) -> DataFrame:
     """Add `review_notes` and `needs_review` to invoices that carry `line_items`."""
     require = F.lit(require_lines) if isinstance(require_lines, bool) else require_lines
     totals = with_line_totals(df)
     notes = F.concat(
         F.array_compact(F.array(*opening_notes(require))),
-        array_line_notes(F.col("line_items")),
+        F.coalesce(array_line_notes(F.col("line_items")), F.array().cast("array<string>")),
+        stored_line_note(df),
         F.array_compact(F.array(*closing_notes())),
     )
     return totals.withColumn("review_notes", notes).withColumn("needs_review", F.size("review_notes") > 0)

@@ -77,6 +77,8 @@ LEDGER_LINE = T.StructType(
     ]
 )
 
+REJECT = T.StructType([T.StructField("file", T.StringType()), T.StructField("reason", T.StringType())])
+
 # The invoice fields a source column can feed, in report and tie-break order.
 MAPPED_FIELDS = (
     "invoice_number",

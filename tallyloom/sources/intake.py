@@ -26,16 +26,19 @@ def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 
 
-def classify(listing: DataFrame) -> DataFrame:
-    """Add `kind` (export, document or null) and `reject_reason` to rows of `path, length`."""
+def classify(listing: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Add `kind` (export, document or null) and `reject_reason` to rows of `path, length`.
+
+    Without `max_bytes` no size is refused; MAX_FILE_BYTES is the limit of an upload.
+    """
     suffix = suffix_of(F.col("path"))
     kind = F.when(suffix.isin(*EXPORT_SUFFIXES), F.lit("export")).when(
         suffix.isin(*DOCUMENT_SUFFIXES), F.lit("document")
     )
     name = base_name(F.col("path"))
+    large = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
     reason = F.when(
-        F.col("length") > MAX_FILE_BYTES,
-        F.concat(name, F.lit(" is "), F.col("length").cast("string"), F.lit(f" bytes; the limit is {MAX_FILE_BYTES} bytes.")),
+        large, F.concat(name, F.lit(" is "), F.col("length").cast("string"), F.lit(f" bytes; the limit is {max_bytes} bytes."))
     ).when(
         kind.isNull(),
         F.concat(F.lit("Unsupported file type '"), name, F.lit("'. Upload a .pdf, .txt, .md, .csv, .json or .xlsx file.")),
@@ -43,19 +46,14 @@ def classify(listing: DataFrame) -> DataFrame:
     return listing.withColumns({"kind": kind, "reject_reason": reason})
 
 
-def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def list_files(spark: SparkSession, paths: str | list[str], max_bytes: int | None = None) -> DataFrame:
     """Route a landing folder without reading any content: only path and length leave the scan."""
-    return classify(spark.read.format("binaryFile").load(paths).select("path", "length"))
+    return classify(spark.read.format("binaryFile").load(paths).select("path", "length"), max_bytes)
 
 
 def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Text documents within the byte limit, undecodable ones flagged: path, text, decodable."""
-    files = (
-        spark.read.format("binaryFile")
-        .load(paths)
-        .where(F.col("length") <= MAX_FILE_BYTES)
-        .where(suffix_of(F.col("path")).isin("txt", "md"))
-    )
+    """Text documents, undecodable ones flagged: path, text, decodable."""
+    files = spark.read.format("binaryFile").load(paths).where(suffix_of(F.col("path")).isin("txt", "md"))
     return files.select(
         "path",
         F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).alias("text"),

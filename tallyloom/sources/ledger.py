@@ -7,14 +7,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, datetime, timezone
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators.dedup import ALREADY_STORED, REPEATED, bulk_outcome
 from tallyloom.operators.numbering import ensure_checkpoint_dir, ordered_positions
 from tallyloom.operators.validate import derive_status, round_money, with_review
-from tallyloom.schema import INVOICE, LEDGER_LINE
+from tallyloom.schema import INVOICE, LEDGER_LINE, REJECT
 
 
 class DuplicateInvoice(ValueError):
@@ -71,11 +70,23 @@ class Ledger:
         self.spark = spark
         self.path = path.rstrip("/")
 
+    def _folder(self, part: str):
+        """(file system, folder) of one part."""
+        context = self.spark.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
+        return folder.getFileSystem(context._jsc.hadoopConfiguration()), folder
+
     def _read(self, part: str, schema) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{part}")
-        except AnalysisException:
+        """An absent part is empty; any other trouble in reading is an error."""
+        files, folder = self._folder(part)
+        if not files.exists(folder):
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{part}")
+
+    def _remove(self, part: str) -> None:
+        files, folder = self._folder(part)
+        if files.exists(folder):
+            files.delete(folder, True)
 
     def invoices(self) -> DataFrame:
         return self._read("invoices", INVOICE)
@@ -84,6 +95,14 @@ class Ledger:
         """Lines of the invoices whose `line_items` is null."""
         return self._read("lines", LEDGER_LINE)
 
+    def rejects(self) -> DataFrame:
+        """Files that gave no rows, with the reason."""
+        return self._read("rejects", REJECT)
+
+    def keep_rejects(self, rejects: DataFrame | None, batch_id: str) -> None:
+        if rejects is not None:
+            rejects.select("file", "reason").write.mode("overwrite").parquet(f"{self.path}/rejects/batch={batch_id}")
+
     def count(self) -> int:
         return self.invoices().count()
 
@@ -91,7 +110,10 @@ class Ledger:
         return self.invoices().agg(F.max("id")).first()[0] or 0
 
     def _append(self, rows: DataFrame, order: Sequence[str]) -> None:
-        numbered = ordered_positions(rows, [F.col(c) for c in order], "id", start=self._max_id() + 1)
+        """Only numbers and order columns are sorted; the ids then join the rows, whose numbers are unique."""
+        keys = rows.select("invoice_number", *order)
+        ids = ordered_positions(keys, [F.col(c) for c in order], "id", start=self._max_id() + 1)
+        numbered = rows.join(ids.select("invoice_number", "id"), "invoice_number")
         numbered.select(*INVOICE.fieldNames()).write.mode("append").parquet(f"{self.path}/invoices")
 
     def save(
@@ -122,10 +144,12 @@ class Ledger:
         report = SaveReport(judged)
         created = report.created
         if long_lines is not None:
-            wanted = created.where(F.col("line_items").isNull()).select("invoice_number")
+            # Where lines name their draft, those of a skipped draft with the same number stay out.
+            keys = [c for c in ("file", "draft_key") if c in long_lines.columns and c in created.columns]
+            wanted = created.where(F.col("line_items").isNull()).select("invoice_number", *keys)
             # A second attempt at a batch that was saved finds nothing new and leaves its lines alone.
             if not wanted.isEmpty():
-                long_lines.join(wanted, "invoice_number", "left_semi").select(
+                long_lines.join(wanted, ["invoice_number", *keys], "left_semi").select(
                     *[F.col(f.name).cast(f.dataType).alias(f.name) for f in LEDGER_LINE.fields]
                 ).write.mode("overwrite").parquet(f"{self.path}/lines/batch={batch_id or uuid.uuid4().hex}")
         marks = {f"_order_{i}": F.col(c) for i, c in enumerate(order)}
@@ -140,9 +164,10 @@ class Ledger:
         return self.save(draft, order, source="uploaded", on_duplicate="error", **options)
 
     def replace(self, rows: DataFrame, order: Sequence[str]) -> None:
-        """Replace the whole ledger with rows in ledger columns (ids are given anew)."""
+        """Replace the whole ledger with rows in ledger columns (ids are given anew). Lines of the old ledger go."""
         numbered = ordered_positions(rows, [F.col(c) for c in order], "id")
         numbered.select(*INVOICE.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/invoices")
+        self._remove("lines")
 
     def load_if_empty(self, rows: DataFrame, order: Sequence[str], force: bool = False) -> LoadReport:
         """Load only into an empty ledger, unless forced; says what was there."""

@@ -6,56 +6,53 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
-# What the documents say.
+# Invented invoices, told as a ledger entry, a letter and a till slip.
 SAMPLES = (
     (
-        "email-body",
-        "Invoice number: NW-2291, dated 31 July 2026, due 30 August 2026, PO-88214.\n"
-        "Data pipeline retainer - July 2026, 1 x $4,800.00. Ad-hoc dashboard build, 12 x $145.00.\n"
-        "Subtotal $6,540.00, sales tax $539.55, total due $7,079.55. Northwind Analytics",
+        "ledger-entry",
+        "No. 77/B of 3 March 2025, Okoro Observatory Works to be paid within the month (2 April 2025).\n"
+        "Mirror recoating, one piece: 912.40 USD. Dome bearing grease, 5 tins at 18.30 USD: 91.50 USD.\n"
+        "Together 1003.90 USD; no tax applies. Questions to desk@okoro-observatory.example.",
         {
-            "invoice_number": "NW-2291", "vendor_name": "Northwind Analytics",
-            "vendor_email": "billing@northwind-analytics.com", "invoice_date": "2026-07-31",
-            "due_date": "2026-08-30", "currency": "USD",
+            "invoice_number": "77/B", "vendor_name": "Okoro Observatory Works",
+            "vendor_email": "desk@okoro-observatory.example", "invoice_date": "2025-03-03",
+            "due_date": "2025-04-02", "currency": "USD",
             "line_items": [
-                {"description": "Data pipeline retainer - July 2026", "quantity": 1, "unit_price": 4800.00, "amount": 4800.00},
-                {"description": "Ad-hoc dashboard build", "quantity": 12, "unit_price": 145.00, "amount": 1740.00},
+                {"description": "Mirror recoating", "quantity": 1, "unit_price": 912.40, "amount": 912.40},
+                {"description": "Dome bearing grease", "quantity": 5, "unit_price": 18.30, "amount": 91.50},
             ],
-            "subtotal": 6540.00, "tax": 539.55, "total": 7079.55, "po_number": "PO-88214", "status": "pending",
+            "subtotal": 1003.90, "tax": 0, "total": 1003.90, "po_number": None, "status": "pending",
         },
     ),
     (
-        "plain-text",
-        "BRAUER LOGISTIK GMBH. Invoice no. BL-2026-0417, date 2026-06-12, due 2026-07-12.\n"
-        "Palletised freight, Hamburg - Rotterdam 3 x EUR 410.00; Customs clearance handling EUR 175.50;\n"
-        "Fuel surcharge EUR 96.20. Subtotal EUR 1,501.70, VAT 19% EUR 285.32, TOTAL EUR 1,787.02",
+        "letter",
+        "Dear Madam, for the harp we sent on your order ORD 5-31 we charge two thousand euros, and for its\n"
+        "case 260 euros; with 21 percent tax (474.60) this makes 2734.60 euros, reference HRP-0019, 11.11.2024.\n"
+        "Payment reached us the same day, thank you. Lievens Harpbouw",
         {
-            "invoice_number": "BL-2026-0417", "vendor_name": "Brauer Logistik GmbH",
-            "vendor_email": "rechnung@brauer-logistik.de", "invoice_date": "2026-06-12",
-            "due_date": "2026-07-12", "currency": "EUR",
+            "invoice_number": "HRP-0019", "vendor_name": "Lievens Harpbouw", "vendor_email": None,
+            "invoice_date": "2024-11-11", "due_date": None, "currency": "EUR",
             "line_items": [
-                {"description": "Palletised freight, Hamburg - Rotterdam", "quantity": 3, "unit_price": 410.00, "amount": 1230.00},
-                {"description": "Customs clearance handling", "quantity": 1, "unit_price": 175.50, "amount": 175.50},
-                {"description": "Fuel surcharge", "quantity": 1, "unit_price": 96.20, "amount": 96.20},
+                {"description": "Harp", "quantity": 1, "unit_price": 2000.00, "amount": 2000.00},
+                {"description": "Harp case", "quantity": 1, "unit_price": 260.00, "amount": 260.00},
             ],
-            "subtotal": 1501.70, "tax": 285.32, "total": 1787.02, "po_number": None, "status": "pending",
+            "subtotal": 2260.00, "tax": 474.60, "total": 2734.60, "po_number": "ORD 5-31", "status": "paid",
         },
     ),
     (
-        "scanned-table",
-        "HALEWOOD PRINT & SIGNAGE LTD. INVOICE NO HPS/45120, ORDER NO 4400291, 28/05/2026, DUE 27/06/2026.\n"
-        "A1 foamex boards (matte) 40 x 12.75; Vinyl banner 3m x 1m 6 x 48.00; Delivery - next day 35.00.\n"
-        "SUB TOTAL 833.00, VAT 166.60, TOTAL GBP 999.60. PAID IN FULL",
+        "till-slip",
+        "SALT MARSH NURSERY / slip 000482 / 19 Sep 2025\n"
+        "sea lavender x7 3.15 ...... 22.05\nwillow stakes x30 0.85 ..... 25.50\n"
+        "delivery ................... 9.00\nsum 56.55 incl. nothing; GBP; due 3 Oct 2025",
         {
-            "invoice_number": "HPS/45120", "vendor_name": "Halewood Print & Signage Ltd",
-            "vendor_email": "accounts@halewoodprint.co.uk", "invoice_date": "2026-05-28",
-            "due_date": "2026-06-27", "currency": "GBP",
+            "invoice_number": "000482", "vendor_name": "Salt Marsh Nursery", "vendor_email": None,
+            "invoice_date": "2025-09-19", "due_date": "2025-10-03", "currency": "GBP",
             "line_items": [
-                {"description": "A1 foamex boards (matte)", "quantity": 40, "unit_price": 12.75, "amount": 510.00},
-                {"description": "Vinyl banner 3m x 1m", "quantity": 6, "unit_price": 48.00, "amount": 288.00},
-                {"description": "Delivery - next day", "quantity": 1, "unit_price": 35.00, "amount": 35.00},
+                {"description": "sea lavender", "quantity": 7, "unit_price": 3.15, "amount": 22.05},
+                {"description": "willow stakes", "quantity": 30, "unit_price": 0.85, "amount": 25.50},
+                {"description": "delivery", "quantity": 1, "unit_price": 9.00, "amount": 9.00},
             ],
-            "subtotal": 833.00, "tax": 166.60, "total": 999.60, "po_number": "4400291", "status": "paid",
+            "subtotal": 56.55, "tax": 0, "total": 56.55, "po_number": None, "status": "pending",
         },
     ),
 )

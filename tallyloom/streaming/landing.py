@@ -5,11 +5,9 @@ from __future__ import annotations
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyloom.plans.imports import long_lines, preview_files
-from tallyloom.sources.intake import MAX_FILE_BYTES
 from tallyloom.sources.ledger import Ledger
 
 
@@ -24,12 +22,15 @@ def ingest_landing(
 ) -> StreamingQuery:
     """Start a run over everything that has arrived and stop when it is saved.
 
+    Files that give no rows are kept with their reasons in the ledger's rejects.
+
     The stream checkpoint remembers which files are done. A batch that is tried again after a failure
     adds nothing twice: its numbers are skipped as already stored, and its line folder is replaced.
     """
 
     def save(files: DataFrame, batch_id: int) -> None:
         preview = preview_files(files, as_of=as_of)
+        ledger.keep_rejects(preview.rejects, f"stream-{batch_id}")
         nested = preview.drafts.nested()
         ledger.save(
             nested,
@@ -45,8 +46,6 @@ def ingest_landing(
         .schema("path string, modificationTime timestamp, length long, content binary")
         .option("maxFilesPerTrigger", files_per_trigger)
         .load(landing)
-        .where(F.col("length") <= MAX_FILE_BYTES)
-        .where(F.lower("path").rlike(r"\.(csv|tsv|json)$"))
         .select("path", "content")
     )
     return (

@@ -274,7 +274,7 @@ def test_structured_records(spark):
     good = parse_records(documents, "record").collect()
     assert all(r.error is None and r.review_notes == [] and not r.needs_review for r in good)
     assert {(r.invoice_number, r.currency, r.total) for r in good} == {
-        ("NW-2291", "USD", D("7079.55")), ("BL-2026-0417", "EUR", D("1787.02")), ("HPS/45120", "GBP", D("999.60")),
+        ("77/B", "USD", D("1003.90")), ("HRP-0019", "EUR", D("2734.60")), ("000482", "GBP", D("56.55")),
     }
     base = json.loads(documents.first().record)
     bad = [
@@ -309,13 +309,13 @@ def test_landing_folder_is_ingested_once(spark, tmp_path):
     os.makedirs(landing)
     ledger = Ledger(spark, str(tmp_path / "ledger"))
     run = lambda: ingest_landing(spark, str(landing), ledger, str(tmp_path / "ckpt"), AS_OF, NOW).awaitTermination()
-    (landing / "vendor_export.csv").write_text(FILES["vendor_export.csv"])
+    (landing / "kelp.csv").write_text(FILES["kelp.csv"])
     (landing / "notes.txt").write_text("not an export, and long enough")
     run()
-    assert sorted(r.invoice_number for r in ledger.invoices().collect()) == ["BP-8802", "CF-8804", "MF-8803", "NG-8801"]
-    (landing / "line_items_export.csv").write_text(FILES["line_items_export.csv"])
-    (landing / "again.csv").write_text(FILES["vendor_export.csv"])
+    assert sorted(r.invoice_number for r in ledger.invoices().collect()) == ["QZ-17", "QZ-18", "QZ-19"]
+    (landing / "stall.csv").write_text(FILES["stall.csv"])
+    (landing / "again.csv").write_text(FILES["kelp.csv"])
     run()
     assert ledger.count() == 6
-    row = ledger.invoices().where("invoice_number = 'LI-3001'").first()
+    row = ledger.invoices().where("invoice_number = 'ST-1'").first()
     assert len(row.line_items) == 3 and row.subtotal == 1000 and row.source == "imported" and row.id > 4
