@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from tallyloom.functions.text import WHITESPACE
 from tallyloom.operators import convert as C
 from tallyloom.operators import mapping as M
 from tallyloom.operators.dedup import bulk_outcome
-from tallyloom.operators.numbering import number_rows, ordered_positions
+from tallyloom.operators.numbering import ensure_checkpoint_dir, number_rows, ordered_positions
 from tallyloom.operators.synth import synthetic_invoices
 from tallyloom.operators.validate import (
     line_review_notes,
@@ -34,8 +36,9 @@ from tallyloom.plans.views import (
     rendered_files,
     table,
 )
-from tallyloom.schema import MAPPED_FIELDS
-from tallyloom.sources.intake import classify, parse_records, text_gate
+from tallyloom.schema import INVOICE_DRAFT, MAPPED_FIELDS
+from tallyloom.sources.intake import MAX_FILE_BYTES, classify, parse_records, text_gate
+from tallyloom.sources.ledger import Ledger
 from tallyloom.sources.staging import Staged, clean_headers, decode_exports, from_dataframe, stage_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,6 +189,32 @@ def q_ledger_ids(spark, sf):
     return ordered_positions(keys, order, "ledger_id", start=101).select("id", "ledger_id")
 
 
+@query("""WITH b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 50 = 0 THEN '' ELSE 'INV-' || (o_orderkey // 2) END AS n FROM orders),
+f AS (SELECT n, min(k) AS k FROM b WHERE n <> '' GROUP BY n)
+SELECT row_number() OVER (ORDER BY k) AS id, n AS invoice_number, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DOUBLE) AS total,
+  'imported' AS source FROM f JOIN orders ON k = o_orderkey""")
+def q_saved_ledger(spark, sf):
+    """Saved into an empty ledger and read back: blank and repeated numbers are skipped, ids follow the batch order."""
+    key, total = F.col("o_orderkey"), F.col("o_totalprice").cast(CENTS)
+    number = F.when(key % 50 == 0, F.lit(" ")).otherwise(F.concat(F.lit("INV-"), F.expr("o_orderkey div 2").cast("string")))
+    columns = {"invoice_number": number, "vendor_name": F.lit("Vendor"), "invoice_date": F.col("o_orderdate").cast("date"),
+               "currency": F.lit("USD"), "line_items": F.array(), "subtotal": total, "tax": F.lit(0), "total": total, "status": F.lit("paid")}
+    draft = [columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in INVOICE_DRAFT.fields]
+    ledger = Ledger(spark, f"{ensure_checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    ledger.save(table(spark, sf, "orders").select("o_orderkey", *draft), ["o_orderkey"], as_of=AS_OF, created_at=datetime(2026, 8, 21))
+    return ledger.invoices().select("id", "invoice_number", money("total"), "source")
+
+
+@query(f"""WITH {INV} SELECT 0 AS position, 'id' AS column_name, 'bigint' AS data_type, count(*) AS n FROM inv
+UNION ALL SELECT 1, 'vendor_name', 'string', count(vendor_name) FROM inv UNION ALL SELECT 2, 'invoice_date', 'date', count(*) FROM inv""")
+def q_describe(spark, sf):
+    """A registered table as the describe tool shows it, with the non-null values a guarded query counts."""
+    invoice_headers(spark, sf).select("id", "vendor_name", "invoice_date").createOrReplaceTempView("described")
+    columns, _ = adhoc.describe_table(spark, "described")
+    counted = adhoc.capped(spark, "SELECT stack(3, 'id', count(id), 'vendor_name', count(vendor_name), 'invoice_date', count(invoice_date)) AS (column_name, n) FROM described")
+    return columns.join(counted, "column_name").select("position", "column_name", "data_type", "n")
+
+
 # ------------------------------------------------------------------ validation
 
 
@@ -435,7 +464,28 @@ def q_intake_routing(spark, sf):
     )
     reason = F.col("reject_reason")
     verdict = F.when(reason.like("%bytes; the limit is 2097152 bytes."), "too large").when(reason.like("Unsupported file type%"), "unsupported")
-    return classify(listing).select("doc_id", "kind", verdict.alias("verdict"))
+    return classify(listing, MAX_FILE_BYTES).select("doc_id", "kind", verdict.alias("verdict"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'json' WHEN 1 THEN 'suffix' WHEN 2 THEN 'no rows' END AS reject,
+CASE doc_id % 4 WHEN 3 THEN 1 ELSE 0 END AS n_rows FROM documents""")
+def q_rejects(spark, sf):
+    """Texts as exports: every file ends in rows or in a reject with its reason."""
+    case = F.col("doc_id") % 4
+    folder = F.concat(F.lit("/in/"), F.col("doc_id").cast("string"))
+    clean = F.translate("text", '"\r\n,;|\t', "")
+    files = table(spark, sf, "documents").select(
+        F.concat(folder, by_case(case, {0: "/a.json", 1: "/a.exe", 2: "/a.csv"}, F.lit("/a.csv"))).alias("path"),
+        by_case(case, {0: F.concat(F.lit("x"), "text"), 1: F.col("text"), 2: F.lit("a,b\n")}, F.concat(F.lit("a,b\nx,"), clean)).cast("binary").alias("content"),
+    )
+    staged = stage_files(files)
+    doc_id = F.regexp_extract("file", r"/in/(\d+)/", 1).cast("long").alias("doc_id")
+    kind = F.when(F.contains("reason", F.lit("not valid JSON")), "json").when(F.contains("reason", F.lit("Unsupported")), "suffix")
+    kind = kind.when(F.contains("reason", F.lit("no data rows")), "no rows").otherwise("other")
+    rows = staged.cells.groupBy("file").agg(F.count(F.lit(1)).cast("int").alias("n_rows"))
+    return staged.rejects.select(doc_id, kind.alias("reject"), F.lit(0).alias("n_rows")).unionByName(
+        rows.select(doc_id, F.lit(None).cast("string").alias("reject"), "n_rows")
+    )
 
 
 @query(f"""SELECT doc_id, CASE WHEN length(text) > 20000 THEN 'too_long' WHEN length(trim(text, '{WHITESPACE}')) < 20 THEN 'too_short' ELSE 'ok' END AS gate

@@ -198,9 +198,7 @@ def rendered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(
         F.col("layout") == 2, F.concat(F.lit("["), F.array_join("rows", ",\n"), F.lit("]"))
     ).otherwise(F.concat(head, F.lit("\n"), F.array_join("rows", "\n"), F.lit("\n")))
-    return files.select(
-        F.concat(F.lit("/landing/"), "file").alias("path"), F.encode(body, "UTF-8").alias("content")
-    )
+    return files.select(F.col("file").alias("path"), F.encode(body, "UTF-8").alias("content"))
 
 
 # ------------------------------------------------------------------ order lines as one-line-per-row exports
@@ -221,7 +219,9 @@ def line_rows(spark: SparkSession, sf_dir: str) -> Staged:
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .withColumn("file", F.concat(F.lit("lines-"), F.col("c_nationkey").cast("string"), F.lit(".csv")))
     )
-    numbered = number_rows(joined, ["file"], ["l_orderkey", "l_linenumber"], _LINE_ORDER, "row_no", start=2)
+    # Slices are ranges of order keys, so sizes are summed over few rows.
+    sliced = joined.withColumn("_slice", F.shiftright("l_orderkey", 16))
+    numbered = number_rows(sliced, ["file"], ["_slice"], ["l_orderkey", "l_linenumber", *_LINE_ORDER], "row_no", start=2)
     n, key = F.col("l_linenumber"), F.col("l_orderkey").cast("string")
     values = [
         F.when(n == 7, F.lit("")).when(n % 2 == 0, F.concat(F.lit("LI-"), key)).otherwise(F.concat(F.lit("li "), key)),

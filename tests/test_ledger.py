@@ -21,6 +21,7 @@ from tallyloom.plans import query as Q
 from tallyloom.schema import INVOICE_DRAFT
 from tallyloom.sources.intake import classify, parse_records, text_gate
 from tallyloom.sources.ledger import DuplicateInvoice, Ledger, to_ledger_rows
+from tallyloom.plans.imports import long_lines, preview_files
 from tallyloom.sources.samples import sample_documents
 from tallyloom.streaming.landing import ingest_landing
 
@@ -228,9 +229,27 @@ def test_summary_and_reports(book):
         "SELECT '--' AS x; DROP TABLE t",
     ],
 )
-def test_guard_refuses(sql):
+def test_guard_refuses(spark, sql):
+    spark.range(1).createOrReplaceTempView("invoices")
     with pytest.raises(adhoc.ReadOnlyViolation):
-        adhoc.guard_query(sql)
+        adhoc.guard_query(sql, spark)
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT * FROM `text`.`/etc/hosts`", "SELECT * FROM `parquet`.`/x`", "SELECT * FROM IDENTIFIER('text.`/etc/hosts`')",
+        "SELECT `reflect`('java.lang.System', 'exit', 1)", "SELECT java_method('java.lang.System', 'nanoTime')",
+        "SELECT 1 WHERE EXISTS (SELECT * FROM xml.`/etc/hosts`)", "WITH a AS (SELECT * FROM csv.`/x`) SELECT * FROM a",
+        "SELECT (SELECT max(value) FROM `text`.`/etc/hosts`)", "SELECT IDENTIFIER('reflect')('java.lang.System', 'nanoTime')",
+        "SELECT TRANSFORM(id) USING 'cat' AS x FROM invoices", "SELECT * FROM nowhere", "SELECT * FROM other.invoices",
+        "WITH a AS (SELECT 1) INSERT INTO invoices SELECT * FROM a", "SELECT * FROM read_files('/x')",
+    ],
+)
+def test_guard_sees_through_spelling(spark, sql):
+    spark.range(1).createOrReplaceTempView("invoices")
+    with pytest.raises(adhoc.ReadOnlyViolation):
+        adhoc.run_query(spark, sql)
 
 
 @pytest.mark.parametrize(
@@ -239,10 +258,16 @@ def test_guard_refuses(sql):
         "SELECT * FROM invoices WHERE vendor_name LIKE '%update%'", "SELECT replace(vendor_name, 'a', 'b') FROM invoices",
         "SELECT '--' AS dashes, 'a;b' AS semi FROM invoices", "select 1 -- drop it", "SELECT `delete` FROM t",
         "SELECT transform(array(1), x -> x + 1)", "SELECT created_at, last_update_by FROM t",
+        "SELECT call FROM t", "WITH a AS (SELECT id FROM invoices) SELECT count(*) OVER (PARTITION BY id) FROM a ORDER BY 1 LIMIT 3",
+        "SELECT * FROM invoices i JOIN t ON i.id = t.id WHERE i.id IN (SELECT id FROM T) UNION ALL SELECT * FROM invoices JOIN t USING (id)",
+        "SELECT id, explode(array(1, 2)) FROM invoices LATERAL VIEW explode(array(3)) v AS y", "SELECT * FROM range(3)",
+        "SELECT id, sum(id) FROM invoices GROUP BY GROUPING SETS ((id), ()) HAVING sum(id) > 1", "SELECT * FROM VALUES (1), (2) AS v(x)",
     ],
 )
-def test_guard_accepts(sql):
-    assert adhoc.guard_query(sql + " ;") == sql
+def test_guard_accepts(spark, sql):
+    spark.range(1).selectExpr("id", "id AS call").createOrReplaceTempView("t")
+    spark.range(1).createOrReplaceTempView("invoices")
+    assert adhoc.guard_query(sql + " ;", spark) == sql
 
 
 def test_capped_queries_and_catalogue(spark, book):
@@ -260,7 +285,7 @@ def test_capped_queries_and_catalogue(spark, book):
 
 def test_intake(spark):
     rows = [("/in/a.CSV", 10), ("/in/b.pdf", 10), ("/in/c.exe", 10), ("/in/d.json", 2097153), ("/in/e.xlsx", 2097152), ("/in/none", 1)]
-    got = classify(spark.createDataFrame(rows, "path string, length long")).collect()
+    got = classify(spark.createDataFrame(rows, "path string, length long"), 2097152).collect()
     assert [r.kind for r in got] == ["export", "document", None, "export", "export", None]
     assert got[3].reject_reason == "d.json is 2097153 bytes; the limit is 2097152 bytes." and got[4].reject_reason is None
     assert "Unsupported file type 'c.exe'" in got[2].reject_reason
@@ -284,7 +309,7 @@ def test_structured_records(spark):
     ]
     got = parse_records(spark.createDataFrame([(i, t) for i, t in enumerate(bad)], "i int, record string"), "record").orderBy("i").collect()
     assert all(r.error for r in got[:5]) and all(r.needs_review is None for r in got[:5])
-    assert got[5].error is None and got[5].review_notes == ["Subtotal + tax = 7079.55 but the total reads 1.00."]
+    assert got[5].error is None and got[5].review_notes == ["Subtotal + tax = 1003.90 but the total reads 1.00."]
 
 
 def test_synthetic_ledger_keeps_its_invariants(spark):
@@ -316,6 +341,30 @@ def test_landing_folder_is_ingested_once(spark, tmp_path):
     (landing / "stall.csv").write_text(FILES["stall.csv"])
     (landing / "again.csv").write_text(FILES["kelp.csv"])
     run()
-    assert ledger.count() == 6
+    assert ledger.count() == 5
+    assert [r.file.rsplit("/", 1)[-1] for r in ledger.rejects().collect()] == ["notes.txt"]
     row = ledger.invoices().where("invoice_number = 'ST-1'").first()
-    assert len(row.line_items) == 3 and row.subtotal == 1000 and row.source == "imported" and row.id > 4
+    assert len(row.line_items) == 2 and row.subtotal == 61 and row.source == "imported" and row.id > 3
+
+
+def test_long_drafts_of_one_number_keep_their_own_lines(spark, tmp_path):
+    lines = "".join(f"L-1,Acme,2026-01-05,Part {i},{-1 if i == 3 else 1},5.00,5.00\n" for i in range(6))
+    head = "Invoice,Vendor,Date,Item,Qty,Unit Price,Line Total\n"
+    files = {"a.csv": head + lines, "b.csv": head + "".join(lines.splitlines(True)[:5])}
+    frame = spark.createDataFrame([(k, bytearray(v.encode())) for k, v in files.items()], "path string, content binary")
+    preview = preview_files(frame, as_of=AS_OF)
+    drafts = preview.drafts.nested(limit=3)
+    ledger = Ledger(spark, str(tmp_path))
+    ledger.save(drafts, order=["file", "first_row"], as_of=AS_OF, created_at=NOW, long_lines=long_lines(preview, drafts))
+    saved = ledger.invoices().first()
+    assert ledger.count() == 1 and saved.line_count == 6 and ledger.long_lines().count() == 6
+    assert saved.needs_review and any("note(s) on lines" in n for n in saved.review_notes)
+    ledger.replace(ledger.invoices().limit(0), ["invoice_number"])
+    assert ledger.long_lines().count() == 0
+
+
+def test_a_broken_ledger_is_not_an_empty_one(spark, tmp_path):
+    (tmp_path / "invoices").mkdir()
+    (tmp_path / "invoices" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        Ledger(spark, str(tmp_path)).count()
