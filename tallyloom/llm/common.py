@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,30 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.settled_at = path
+    for tables in _WATCHED:
+        tables.append(out)
     return out
 
 
+#: Lists that get every table settled while they are watched.
+_WATCHED: list[list[DataFrame]] = []
+
+
+@contextmanager
+def settled_into(tables: list[DataFrame]) -> Iterator[None]:
+    """Meanwhile settled tables are noted in `tables`, for whoever knows when they are done with."""
+    _WATCHED.append(tables)
+    try:
+        yield
+    finally:
+        _WATCHED.remove(tables)
+
+
+def broadcast_if_small(settled: DataFrame, max_rows: int) -> DataFrame:
+    """The settled table, marked for broadcast if its counted rows are few; beyond that Spark shuffles."""
+    return F.broadcast(settled) if settled.count() <= max_rows else settled
+
+
 def discard(*settled: DataFrame) -> None:
     """Delete settled tables that nothing reads any more, to give their disk back before the job ends."""
     for df in settled:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import Bloom, WordHashes, bloom_of, map_batches, settle, texts_of, words_of
+from tallyloom.llm.common import Bloom, WordHashes, bloom_of, broadcast_if_small, map_batches, settle, texts_of, words_of
 
 #: Kinds in the order in which they are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -203,6 +203,8 @@ def disclosures(
         .groupBy("row")
         .agg(F.sort_array(F.collect_list(F.struct("start", "stop", "action"))).alias("terms"))
     )
+    # A row holds the terms near its own entities; what is broadcast stays within some megabytes.
+    terms = broadcast_if_small(settle(terms, "pii-terms"), 20_000)
     out = base.drop("near", "text_key").join(terms, "row", "left")
     none = F.array().cast("array<struct<start:bigint,stop:bigint,action:string>>")
     return out.select(

@@ -101,7 +101,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2, ro
     return prints.join(labelled, "fp").select("row", "doc_id", "fp", "root", "component_id")
 
 
-def one_of_each(linked: DataFrame) -> DataFrame:
-    """(row): of each component the row with the smallest doc_id, rows without one last."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    return linked.groupBy("root").agg(first).select("first.row")
+def surplus_rows(linked: DataFrame) -> DataFrame:
+    """(row) of every row but one of each component; the one with the smallest doc_id stays, rows without one last."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    firsts = linked.groupBy("root").agg(F.min(place).alias("first")).select("first.row")
+    return linked.select("row").join(firsts, "row", "left_anti")

@@ -82,7 +82,7 @@ def test_long_chain_is_one_component(spark):
 def test_one_row_of_each_component(docs):
     numbered = docs.drop("row").withColumn("row", F.monotonically_increasing_id()).cache()
     linked = simhash.near_duplicates(numbered, row="row")
-    kept = numbered.join(simhash.one_of_each(linked), "row", "left_semi")
+    kept = numbered.join(simhash.surplus_rows(linked), "row", "left_anti")
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(5) == 1 and 6 not in ids and 13 not in ids and 14 in ids
 
