@@ -18,10 +18,9 @@ from tallyloom.operators.synth import synthetic_invoices
 from tallyloom.operators.validate import round_money, with_header_review, with_review
 from tallyloom.plans import adhoc
 from tallyloom.plans import query as Q
-from tallyloom.schema import INVOICE_DRAFT
+from tallyloom.schema import INVOICE, INVOICE_DRAFT
 from tallyloom.sources.intake import classify, parse_records, text_gate
 from tallyloom.sources.ledger import DuplicateInvoice, Ledger, to_ledger_rows
-from tallyloom.plans.imports import long_lines, preview_files
 from tallyloom.sources.samples import sample_documents
 from tallyloom.streaming.landing import ingest_landing
 
@@ -348,14 +347,25 @@ def test_landing_folder_is_ingested_once(spark, tmp_path):
 
 
 def test_long_drafts_of_one_number_keep_their_own_lines(spark, tmp_path):
-    lines = "".join(f"L-1,Acme,2026-01-05,Part {i},{-1 if i == 3 else 1},5.00,5.00\n" for i in range(6))
-    head = "Invoice,Vendor,Date,Item,Qty,Unit Price,Line Total\n"
-    files = {"a.csv": head + lines, "b.csv": head + "".join(lines.splitlines(True)[:5])}
-    frame = spark.createDataFrame([(k, bytearray(v.encode())) for k, v in files.items()], "path string, content binary")
-    preview = preview_files(frame, as_of=AS_OF)
-    drafts = preview.drafts.nested(limit=3)
+    day, six, five = date(2026, 1, 5), D(30), D(25)
+    columns = (
+        "file string, draft_key string, first_row long, invoice_number string, vendor_name string, vendor_email string,"
+        " invoice_date date, due_date date, currency string, subtotal decimal(18,2), tax decimal(18,2), total decimal(18,2),"
+        " po_number string, status string, line_count long, line_sum decimal(28,2), line_note_count long"
+    )
+    shared = lambda file, total, n: (
+        file, "l1", 2, "L-1", "Acme", None, day, None, "USD", total, D(0), total, None, "paid", n, total, 1,
+    )
+    drafts = spark.createDataFrame([shared("a.csv", six, 6), shared("b.csv", five, 5)], columns)
+    drafts = drafts.withColumn("line_items", F.lit(None).cast(INVOICE["line_items"].dataType))
+    lines = [(f, "l1", "L-1", k, f"Part {k}", D(1), D(5), D(5)) for f, n in (("a.csv", 6), ("b.csv", 5)) for k in range(1, n + 1)]
+    wide = spark.createDataFrame(
+        lines,
+        "file string, draft_key string, invoice_number string, line_no long, description string, quantity decimal(18,6),"
+        " unit_price decimal(18,2), amount decimal(18,2)",
+    )
     ledger = Ledger(spark, str(tmp_path))
-    ledger.save(drafts, order=["file", "first_row"], as_of=AS_OF, created_at=NOW, long_lines=long_lines(preview, drafts))
+    ledger.save(drafts, order=["file", "first_row"], as_of=AS_OF, created_at=NOW, long_lines=wide)
     saved = ledger.invoices().first()
     assert ledger.count() == 1 and saved.line_count == 6 and ledger.long_lines().count() == 6
     assert saved.needs_review and any("note(s) on lines" in n for n in saved.review_notes)
