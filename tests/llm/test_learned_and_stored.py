@@ -11,6 +11,7 @@ import zipfile
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from text_tables import docs, prose  # noqa: F401  fixtures
 
 from tallyloom.llm import quality_cnn, toxicity_zstd, warc_zip
 from tallyloom.llm.queries import ORACLE, QUERIES

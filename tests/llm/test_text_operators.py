@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from text_tables import docs, nothing, prose  # noqa: F401  fixtures
 
 from tallyloom.llm import license_join, pii_disclosure, quality_rules, simhash, suffix_dedup, winnowing
 from tallyloom.llm.common import bloom_of, components
