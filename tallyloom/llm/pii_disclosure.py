@@ -1,15 +1,18 @@
 """Personal data in texts, and the terms that give it away.
 
 Protected entities are e-mail addresses, IP addresses, card numbers and phone numbers, found by fixed patterns. Words
-near an entity can reveal it although they are no personal data themselves. How strongly a term t reveals an entity e is
-their pointwise mutual information over the corpus, log2(n(t, e) N / (n(t) n(e))), where n counts documents and n(t, e)
-those with t within `reach` words of e. It is held against the entity's own information content log2(N / n(e)), which it
-reaches when t never occurs without e. A term whose share is `remove` or more is removed, one of `generalise` or more is
-replaced by what kind of word it is. Chance is kept out by asking that the two meet in at least two different texts.
-
-The corpus is read twice: once for entities and the terms around them, once to count the documents of those terms, which
-a Bloom filter of bounded size singles out. Counts combine on the map side; a term or entity that a third of all
-documents hold is a row of a join, which Spark splits.
+that go with an entity can reveal it although they are no personal data themselves. How strongly a term t reveals an entity e
+is their pointwise mutual information over the corpus, log2(n(t, e) N / (n(t) n(e))), where n counts documents by their
+whole texts, wherever in them t and e stand; words that are part of an entity are no terms. It is held against the
+entity's own information content log2(N / n(e)), which it reaches when t never occurs without e. A term whose share is
+`remove` or more is removed, one of `generalise` or more is replaced by what kind of word it is, at every place of every
+text that holds e. Chance is kept out by asking that the two meet in at least two different texts.
+
+The corpus is read twice: for the entities, and to count the documents of every term. The texts that hold entities are
+kept, and their pairs of entity and term counted, but for those that cannot disclose: an entity must be in two different
+texts, and a term with n(t) > n(e)^g N^(1-g), g being `generalise`, misses the share even if it is in all texts of e. Bloom
+filters of bounded size sort these out in the tasks and the counts decide. Counts combine on the map side; a term or entity
+that a third of all documents hold is a row of a join, which Spark splits.
 
 Null and empty texts hold nothing. Repeated rows count each, but as one text. Columns that are not carried are ignored.
 """
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import Bloom, WordHashes, bloom_of, broadcast_if_small, map_batches, settle, texts_of, words_of
+from tallyloom.llm.common import OUT_ROWS, Bloom, WordHashes, bloom_of, map_batches, settle, words_of
 
 #: Kinds in the order in which they are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -36,7 +40,6 @@ _NUMBERS = re.compile(r"[0-9][0-9.]*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-_NEAR_CHARS = 240
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -105,107 +108,163 @@ def _entity_key(kind: str, value: str) -> int:
     return xxhash.xxh64_intdigest(f"{kind}:{plain}".encode()) - (1 << 63)
 
 
-def _near(text: str, start: int, end: int, reach: int) -> list[tuple[int, int]]:
-    """Up to `reach` whole words on either side."""
-    low = max(0, start - _NEAR_CHARS)
-    left = [m.span() for m in _WORD.finditer(text, low, start)]
-    if left and left[0][0] == low > 0 and _WORD.match(text, low - 1):
-        left = left[1:]  # cut in the middle
-    high = min(len(text), end + _NEAR_CHARS)
-    right = [m.span() for m in _WORD.finditer(text, end, high)]
-    if right and right[-1][1] == high < len(text) and _WORD.match(text, high):
-        right = right[:-1]
-    return left[-reach:] + right[:reach]
+def _terms(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[bytes, int, int]]:
+    """Words of the whole text that overlap no span, with their places."""
+    spans, at, stop = sorted(spans), 0, 0
+    for m in _WORD.finditer(text):
+        a, b = m.span()
+        while at < len(spans) and spans[at][0] < b:
+            stop = max(stop, spans[at][1])
+            at += 1
+        if a >= stop:
+            yield words_of(m.group().encode())[0], a, b
 
 
-def with_entities(docs: DataFrame, reach: int, carry: tuple[str, ...]) -> DataFrame:
-    """(doc_id, spans, near, text_key) and the carried columns; near lists (entity, term, start, stop)."""
+def with_entities(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """(row, doc_id, spans, entities, text_key, held) and the carried columns; held is the text of rows with entities."""
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])
-    near = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
     kept = docs.select(F.col("doc_id").cast("long"), F.col("text").alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
 
     def run(batch):
-        hashes = WordHashes()
-        spans, nears, keys = [], [], []
+        spans, keys, numbers, held = [], [], [], []
         for text in batch.column(1).to_pylist():
             text = text or ""
             found = entities(text)
-            around = set()
-            for kind, i, j in found:
-                entity = _entity_key(kind, text[i:j])
-                for a, b in _near(text, i, j, reach):
-                    if not any(a < y and x < b for _, x, y in found):
-                        for word in words_of(text[a:b].encode()):
-                            around.add((entity, hashes[word] - (1 << 63), a, b))
             spans.append([{"kind": k, "start": i, "stop": j} for k, i, j in found])
-            nears.append([dict(zip(("entity", "term", "start", "stop"), x)) for x in sorted(around)])
+            numbers.append(sorted({_entity_key(k, text[i:j]) for k, i, j in found}))
             keys.append(xxhash.xxh64_intdigest(text.encode()) - (1 << 63) if found else 0)
+            held.append(text if found else None)
         yield pa.record_batch(
-            [batch.column(0), pa.array(spans, pa.list_(span)), pa.array(nears, pa.list_(near)), pa.array(keys, pa.int64()), *batch.columns[2:]],
-            ["doc_id", "spans", "near", "text_key", *[f"_c{i}" for i in range(len(carry))]],
+            [
+                batch.column(0),
+                pa.array(spans, pa.list_(span)),
+                pa.array(numbers, pa.list_(pa.int64())),
+                pa.array(keys, pa.int64()),
+                pa.array(held, pa.string()),
+                *batch.columns[2:],
+            ],
+            ["doc_id", "spans", "entities", "text_key", "held", *[f"_c{i}" for i in range(len(carry))]],
         )
 
-    schema = (
-        "doc_id long, spans array<struct<kind:string,start:long,stop:long>>,"
-        " near array<struct<entity:long,term:long,start:long,stop:long>>, text_key long"
-    )
+    schema = "doc_id long, spans array<struct<kind:string,start:long,stop:long>>, entities array<long>, text_key long, held string"
     schema += "".join(f", _c{i} {kept.schema[f'_c{i}'].dataType.simpleString()}" for i in range(len(carry)))
     out = map_batches(kept, run, schema)
-    return out.select(F.monotonically_increasing_id().alias("row"), "doc_id", "spans", "near", "text_key", *[F.col(f"_c{i}").alias(f"_kept_{c}") for i, c in enumerate(carry)])
+    own = ("doc_id", "spans", "entities", "text_key", "held")
+    return out.select(F.monotonically_increasing_id().alias("row"), *own, *[F.col(f"_c{i}").alias(f"_kept_{c}") for i, c in enumerate(carry)])
 
 
-def term_counts(docs: DataFrame, bloom: Bloom) -> DataFrame:
-    """(term, n_term): documents that hold each term of the filter."""
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(term, n_term): documents that hold each term outside of entities."""
 
     def run(batch):
         hashes, counts = WordHashes(), Counter()
-        for raw in texts_of(batch.column(0)):
-            words = list(set(words_of(raw)))
-            keys = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)) ^ np.uint64(1 << 63)
-            counts.update(keys[bloom.hits(keys)].view(np.int64).tolist())
-        yield pa.record_batch([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+        for text in batch.column(0).to_pylist():
+            text = text or ""
+            found = entities(text)
+            words = {w for w, _, _ in _terms(text, [x[1:] for x in found])} if found else set(words_of(text.encode()))
+            counts.update(map(hashes.__getitem__, words))
+        keys = np.fromiter(counts, np.uint64, len(counts)) ^ np.uint64(1 << 63)
+        yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
     return map_batches(docs.select("text"), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
-def disclosures(
-    docs: DataFrame, reach: int = 8, generalise: float = 0.8, remove: float = 0.95, carry: tuple[str, ...] = ()
-) -> DataFrame:
+def _met(base: DataFrame, of_entity: Bloom, of_term: Bloom, of_pair: Bloom | None = None) -> DataFrame:
+    """(row, text_key, entity, term): distinct pairs of a row's entities and its terms that pass the filters."""
+
+    def run(batch):
+        hashes = WordHashes()
+        row_of, key_of = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for row, key, text, spans, own in zip(row_of, key_of, *[batch.column(i).to_pylist() for i in (2, 3, 4)]):
+            own = np.array(own, np.int64)
+            own = own[of_entity.hits(own.view(np.uint64))]
+            if not len(own):
+                continue
+            words = {w for w, _, _ in _terms(text, [(x["start"], x["stop"]) for x in spans])}
+            terms = (np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)) ^ np.uint64(1 << 63)).view(np.int64)
+            terms = terms[of_term.hits(terms.view(np.uint64))]
+            for entity in own:
+                some = terms if of_pair is None else terms[of_pair.hits((terms ^ entity).view(np.uint64))]
+                if len(some):
+                    fixed = [pa.array(np.full(len(some), x, np.int64)) for x in (row, key, entity)]
+                    yield pa.record_batch([*fixed, pa.array(some)], ["row", "text_key", "entity", "term"])
+
+    def joined(batch):
+        """Few large batches instead of one for each entity of a row."""
+        waiting, n = [], 0
+        for part in run(batch):
+            waiting.append(part)
+            n += part.num_rows
+            if n >= OUT_ROWS:
+                yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+                waiting, n = [], 0
+        if waiting:
+            yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+    held = base.where("size(entities) > 0").select("row", "text_key", "held", "spans", "entities")
+    return map_batches(held, joined, "row long, text_key long, entity long, term long")
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """(row, terms) of (row, held, spans, marks): every place at which a marked term stands."""
+    place = pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("action", pa.string())])
+
+    def run(batch):
+        hashes, out = WordHashes(), []
+        for text, spans, marks in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)]):
+            action = {x["term"]: x["action"] for x in marks}
+            found = ((hashes[w] - (1 << 63), a, b) for w, a, b in _terms(text, [(x["start"], x["stop"]) for x in spans]))
+            out.append([{"start": a, "stop": b, "action": action[t]} for t, a, b in found if t in action])
+        yield pa.record_batch([batch.column(0), pa.array(out, pa.list_(place))], ["row", "terms"])
+
+    return map_batches(rows.select("row", "held", "spans", "marks"), run, "row long, terms array<struct<start:long,stop:long,action:string>>")
+
+
+def disclosures(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, carry: tuple[str, ...] = ()) -> DataFrame:
     """(row, doc_id, spans, terms) and the carried columns of every row.
 
-    `spans` are the entities as (kind, start, stop) in code points; `terms` are (start, stop, action) of the terms that
-    disclose one of them, action being remove or generalise.
+    `spans` are the entities as (kind, start, stop) in code points; `terms` are (start, stop, action) of all places of
+    the terms that disclose one of them, action being remove or generalise.
     """
-    base = settle(with_entities(docs, reach, carry), "pii-entities")
-    near = base.select("row", "text_key", F.explode("near").alias("x")).select("row", "text_key", "x.*")
-    together = (
-        near.select("row", "text_key", "entity", "term").distinct().groupBy("entity", "term").agg(
-            F.count(F.lit(1)).alias("n_both"), (F.min("text_key") != F.max("text_key")).alias("apart")
-        )
+    base = settle(with_entities(docs, carry), "pii-entities")
+    n = max(base.count(), 1)
+    mentions = base.select("text_key", F.explode("entities").alias("entity")).groupBy("entity").agg(
+        F.count(F.lit(1)).alias("n_entity"), (F.min("text_key") != F.max("text_key")).alias("apart")
+    )
+    # An entity of all documents tells nothing that could be disclosed; one of a single text meets no term in two.
+    shared = settle(mentions.where(f"apart and n_entity < {n}").drop("apart"), "pii-shared")
+    most = shared.agg(F.max("n_entity")).first()[0] or 0
+    bound = most * (n / max(most, 1)) ** (1 - min(generalise, 1)) * (1 + 1e-9)
+    counted = settle(term_counts(docs).where(f"n_term between 2 and {bound}"), "pii-terms")
+    of_entity, of_term = bloom_of(shared, "entity"), bloom_of(counted, "term")
+    together = _met(base, of_entity, of_term).groupBy("entity", "term").agg(
+        F.count(F.lit(1)).alias("n_both"), (F.min("text_key") != F.max("text_key")).alias("apart")
     )
-    together = settle(together.where("apart").drop("apart"), "pii-together")
-    mentions = near.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    bloom = bloom_of(together.select("term").distinct(), "term")
-    n = base.count()
     judged = (
-        together.join(mentions, "entity")
-        .join(term_counts(docs, bloom), "term")
-        .withColumn("content", F.log2(F.lit(float(max(n, 1))) / F.col("n_entity")))
-        .withColumn("shown", F.log2(F.col("n_both") * F.lit(float(max(n, 1))) / (F.col("n_term").cast("double") * F.col("n_entity"))))
+        together.where("apart")
+        .join(shared, "entity")
+        .join(counted, "term")
+        .withColumn("content", F.log2(F.lit(float(n)) / F.col("n_entity")))
+        .withColumn("shown", F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_term").cast("double") * F.col("n_entity"))))
+        .where(f"shown >= {generalise} * content")
     )
-    # An entity of all documents tells nothing that could be disclosed.
-    judged = judged.where(f"content > 0 and shown >= {generalise} * content")
-    told = judged.select("entity", "term", F.when(F.col("shown") >= remove * F.col("content"), "remove").otherwise("generalise").alias("action"))
-    terms = (
-        near.join(told, ["entity", "term"])
-        .groupBy("row", "start", "stop")
+    action = F.when(F.col("shown") >= remove * F.col("content"), "remove").otherwise("generalise")
+    told = settle(judged.select("entity", "term", action.alias("action")), "pii-told")
+
+    of_pair = bloom_of(told.select(F.col("entity").bitwiseXOR(F.col("term")).alias("pair")), "pair")
+    marks = (
+        _met(base, of_entity, of_term, of_pair)
+        .join(told, ["entity", "term"])
+        .groupBy("row", "term")
         .agg(F.max("action").alias("action"))
         .groupBy("row")
-        .agg(F.sort_array(F.collect_list(F.struct("start", "stop", "action"))).alias("terms"))
+        .agg(F.collect_list(F.struct("term", "action")).alias("marks"))
     )
-    # A row holds the terms near its own entities; what is broadcast stays within some megabytes.
-    terms = broadcast_if_small(settle(terms, "pii-terms"), 20_000)
-    out = base.drop("near", "text_key").join(terms, "row", "left")
+    # A row holds terms of its own text only; what is broadcast stays within some megabytes.
+    terms = settle(_marked(base.select("row", "held", "spans").join(marks, "row")), "pii-marked")
+    if (terms.agg(F.sum(F.size("terms"))).first()[0] or 0) <= 200_000:
+        terms = F.broadcast(terms)
+    out = base.drop("entities", "text_key", "held").join(terms, "row", "left")
     none = F.array().cast("array<struct<start:bigint,stop:bigint,action:string>>")
     return out.select(
         "row", "doc_id", "spans", F.coalesce("terms", none).alias("terms"), *[F.col(f"_kept_{c}").alias(c) for c in carry]
