@@ -1,13 +1,14 @@
-"""License statements in texts: an exact set-similarity join of text blocks with statement templates.
+"""License statements in texts: an exact set-similarity join of text windows with statement templates.
 
-Blocks are the lines of a text, as sets of words. A template is found in a block that holds at least `share`
-of the template's words. Words are ordered by how many texts hold them, rarest first, counted over the whole
-corpus. A block that holds enough of a template must hold one of its first len - need + 1 words (prefix filter),
-have enough template words at all (length filter), and have enough of them left from the shared word on, on both
-sides (positional filter). What passes is compared in full, so no block is missed and none is wrongly found.
+Windows are runs of consecutive words over the whole text, whatever its line breaks, as sets of words. A template of n words
+is found in a text if one of its windows of n / `share` words holds at least `share` of the template's distinct words.
+Words are ordered by how many texts hold them, rarest first, counted over the whole corpus. A window that holds enough of
+a template must hold one of its first len - need + 1 words (prefix filter), so only windows around these words are looked
+at; the words on both sides of one must hold enough of the template (length filter) before its windows are compared one
+by one. So no window is missed and none is wrongly found. Overlapping windows that hold a template are one match.
 
 The templates are a fixed list, so their words, the word order and the templates' rows are bounded and small. Texts
-are read twice (order, then join) and never shuffled; only lines with a prefix word leave their row, as word sets.
+are read twice (order, then join) and never shuffled; only the few words around a prefix word leave their row.
 All of it is built-in expressions.
 
 Null and empty texts have no words. Repeated rows are answered each. Other columns are ignored.
@@ -62,21 +63,22 @@ def token_order(docs: DataFrame, templates: dict[str, str]) -> list[str]:
 
 
 def prefixes(templates: dict[str, str], order: list[str], share: float) -> list[tuple]:
-    """(label, word, place, size, need, all words) for the prefix words of each template."""
+    """(label, word, width, size, need, all words) for the prefix words of each template."""
     out = []
     for label, text in templates.items():
         own = sorted(set(text.split()), key=order.index)
         need = math.ceil(round(share * len(own), 9))
-        out += [(label, w, i, len(own), need, own) for i, w in enumerate(own[: len(own) - need + 1])]
+        width = math.floor(round(len(text.split()) / share, 9))
+        out += [(label, w, width, len(own), need, own) for w in own[: len(own) - need + 1]]
     return out
 
 
 def _prefix_table(docs: DataFrame, rows: list[tuple]) -> DataFrame:
     quote = lambda w: "'" + w + "'"  # noqa: E731  words are ASCII letters and digits
     values = ", ".join(
-        f"({quote(a)}, {quote(w)}, {i}, {n}, {need}, array({', '.join(map(quote, own))}))" for a, w, i, n, need, own in rows
+        f"({quote(a)}, {quote(w)}, {width}, {n}, {need}, array({', '.join(map(quote, own))}))" for a, w, width, n, need, own in rows
     )
-    return docs.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(label, word, t_place, t_size, need, t_words)")
+    return docs.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(label, word, t_width, t_size, need, t_words)")
 
 
 def _phrase_places(words: str, phrase: str) -> str:
@@ -89,7 +91,8 @@ def find_licenses(
 ) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches) of every row.
 
-    `matches` lists the templates found, with line number and the share of the template's words in the line.
+    `matches` lists the templates found, with the best share of a window and the first prefix word (0 is the text's first)
+    that a window holding the template has.
     """
     templates, phrases = templates or TEMPLATES, phrases or PHRASES
     order = token_order(docs, templates)
@@ -99,41 +102,48 @@ def find_licenses(
 
     spoken = "|".join(f"[{BREAKS}]+".join(p.split()) for p in phrases.values())
     words = F.when(F.col("text").rlike(f"(?i)(?:{spoken})"), words_of(F.col("text")))
-    marked = f"(?i)(?:{'|'.join(marks)})"
-    lines = F.when(F.col("text").rlike(marked), F.split("text", "\n", -1))
-    blocks = F.transform(
-        lines,
-        lambda line, i: F.when(line.rlike(marked), F.struct(i.alias("line"), F.array_intersect(vocabulary, words_of(line)).alias("held"))),
-    )
+    # A mark is a whole word; case is that of ASCII, as in words_of.
+    marked = f"(?i)(?:^|[{BREAKS}])(?:{'|'.join(marks)})(?:[{BREAKS}]|$)"
+    side, least = max(r[2] for r in rows) - 1, min(r[4] for r in rows)
+
+    def spot(word: Column, i: Column) -> Column:
+        start = F.greatest(i - side, F.lit(0))
+        around = F.slice("_all", start + 1, i - start + 1 + side)
+        enough = F.size(F.array_intersect(vocabulary, around)) >= least
+        return F.when(word.isin(marks) & enough, F.struct(i.alias("place"), word.alias("word"), (i - start).alias("at"), around.alias("around")))
+
     base = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"),
         words.alias("_words"),
-        F.filter(blocks, lambda b: b.isNotNull()).alias("blocks"),
+        F.when(F.col("text").rlike(marked), words_of(F.col("text"))).alias("_all"),
     )
+    spots = F.filter(F.transform("_all", spot), lambda x: x.isNotNull())
     places = {k: F.coalesce(F.expr(_phrase_places("_words", p)), F.array().cast("array<int>")) for k, p in phrases.items()}
     base = base.select(
-        "row", "doc_id", "n_words", "blocks", F.struct(*[x.alias(k) for k, x in places.items()]).alias("_places")
+        "row", "doc_id", "n_words", spots.alias("spots"), F.struct(*[x.alias(k) for k, x in places.items()]).alias("_places")
     )
     base = settle(base, "license-base")
 
-    blocks = base.select("row", F.explode("blocks").alias("b")).select("row", "b.line", "b.held", F.size("b.held").alias("size"))
-    tokens = blocks.select("*", F.posexplode("held").alias("place", "word"))
-    pairs = tokens.join(_prefix_table(docs, rows), "word").where(
-        "size >= need and least(t_size - t_place, size - place) >= need"
+    near = base.select("row", F.explode("spots").alias("s")).select("row", "s.*")
+    pairs = near.join(_prefix_table(docs, rows), "word").where("size(array_intersect(t_words, around)) >= need")
+    # Every window of the template's width that holds the prefix word; `at` counts from 0, slice from 1.
+    held = F.expr(
+        "array_max(transform(sequence(greatest(at + 2 - t_width, 1), at + 1),"
+        " i -> size(array_intersect(t_words, slice(around, i, t_width)))))"
     )
-    overlap = F.size(F.array_intersect("t_words", "held"))
     found = (
-        pairs.withColumn("overlap", overlap)
-        .where("overlap >= need")
-        .select("row", F.struct("label", "line", (F.col("overlap") / F.col("t_size")).alias("share")).alias("m"))
+        pairs.withColumn("held", held)
+        .where("held >= need")
+        .groupBy("row", "label")
+        .agg(F.min("place").alias("word"), F.max(F.col("held") / F.col("t_size")).alias("share"))
         .groupBy("row")
-        .agg(F.collect_set("m").alias("matches"))
+        .agg(F.collect_list(F.struct("label", "word", "share")).alias("matches"))
     )
     every = F.flatten(F.array(*[F.col(f"_places.`{k}`") for k in phrases]))
     spoken_labels = F.array_compact(F.array(*[F.when(F.size(F.col(f"_places.`{k}`")) > 0, k) for k in sorted(phrases)]))
-    out = base.drop("blocks").join(found, "row", "left").withColumn("_every", every).withColumn("_base", spoken_labels)
+    out = base.drop("spots").join(found, "row", "left").withColumn("_every", every).withColumn("_base", spoken_labels)
     out = out.withColumn("matches", F.coalesce(F.array_sort("matches"), F.array().cast(found.schema["matches"].dataType)))
     return out.select(
         "doc_id",
