@@ -113,10 +113,17 @@ def mix(
     )
 
 
-def copies(mixed: DataFrame) -> DataFrame:
-    """One row per repetition, with `copy` from 1 on; a repetition taken in part keeps the first words of the text."""
-    times = F.col("repeats") + (F.col("extra") > 0).cast("long")
-    rows = mixed.where("size > 0").select("*", F.explode(F.expr("sequence(1L, 1L + repeats)")).alias("copy"))
+def copies(mixed: DataFrame, whole: bool = False) -> DataFrame:
+    """One row per repetition, with `copy` from 1 on; a repetition taken in part keeps the first words of the text.
+
+    With `whole` texts are never cut: a repetition taken in part is given whole if at least half of its words are due,
+    and else left out, so a source is off its target by less than one document.
+    """
+    due = F.col("extra") * 2 >= F.col("size") if whole else F.col("extra") > 0
+    times = F.col("repeats") + due.cast("long")
+    rows = mixed.where("size > 0").select("*", F.explode(F.expr("sequence(1L, 1L + repeats)")).alias("copy")).where(F.col("copy") <= times)
+    if whole:
+        return rows
     part = (F.col("copy") > F.col("repeats")) & (F.col("extra") < F.col("size"))
     words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("extra").cast("int"))
-    return rows.where(F.col("copy") <= times).withColumn("text", F.when(part, F.array_join(words, " ")).otherwise(F.col("text")))
+    return rows.withColumn("text", F.when(part, F.array_join(words, " ")).otherwise(F.col("text")))
