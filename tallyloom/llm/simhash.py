@@ -1,4 +1,4 @@
-"""SimHash fingerprints and their links by multi-index hashing.
+"""SimHash fingerprints and their links by a one-bit neighbourhood index.
 
 Links join fingerprints that differ in at most two bits. Each fingerprint is cut into segments; in every
 segment the ball of radius one is enumerated and looked up together with the other segments unchanged.
