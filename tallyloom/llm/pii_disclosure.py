@@ -125,6 +125,8 @@ def with_entities(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])
     kept = docs.select(F.col("doc_id").cast("long"), F.col("text").alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
 
+    carried = "text" in carry  # then it need not come back twice
+
     def run(batch):
         spans, keys, numbers, held = [], [], [], []
         for text in batch.column(1).to_pylist():
@@ -133,7 +135,7 @@ def with_entities(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
             spans.append([{"kind": k, "start": i, "stop": j} for k, i, j in found])
             numbers.append(sorted({_entity_key(k, text[i:j]) for k, i, j in found}))
             keys.append(xxhash.xxh64_intdigest(text.encode()) - (1 << 63) if found else 0)
-            held.append(text if found else None)
+            held.append(text if found and not carried else None)
         yield pa.record_batch(
             [
                 batch.column(0),
@@ -149,6 +151,8 @@ def with_entities(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
     schema = "doc_id long, spans array<struct<kind:string,start:long,stop:long>>, entities array<long>, text_key long, held string"
     schema += "".join(f", _c{i} {kept.schema[f'_c{i}'].dataType.simpleString()}" for i in range(len(carry)))
     out = map_batches(kept, run, schema)
+    if carried:
+        out = out.withColumn("held", F.when(F.size("entities") > 0, F.col(f"_c{carry.index('text')}")))
     own = ("doc_id", "spans", "entities", "text_key", "held")
     return out.select(F.monotonically_increasing_id().alias("row"), *own, *[F.col(f"_c{i}").alias(f"_kept_{c}") for i, c in enumerate(carry)])
 
