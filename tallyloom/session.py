@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -23,4 +27,25 @@ def build_session(master: str | None = None, app: str = "tallyloom", **extra: st
         builder = builder.master(master)
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per Spark context, so that Python code of tasks can import it wherever it runs."""
+    context = spark.sparkContext
+    if getattr(context, "_tallyloom_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(home)
+    # Executors fetch it from the driver, in whose folder it stays until Spark ends.
+    archive = os.path.join(tempfile.mkdtemp(prefix=name, dir=context._temp_dir), f"{name}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as packed:
+        for place, _, files in os.walk(home):
+            for file in sorted(files):
+                if file.endswith(".py"):
+                    full = os.path.join(place, file)
+                    packed.write(full, os.path.join(name, os.path.relpath(full, home)))
+    context.addPyFile(archive)
+    context._tallyloom_shipped = True
