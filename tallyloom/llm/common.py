@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators.numbering import ensure_checkpoint_dir
+from tallyloom.session import ship_package
 
 #: Rows of one Arrow batch that a task hands back to the JVM.
 OUT_ROWS = 65_536
@@ -72,6 +73,7 @@ def discard(*settled: DataFrame) -> None:
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
+    ship_package(df.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -108,3 +108,35 @@ SELECT page_id, n::BIGINT AS payload_bytes,
   CASE WHEN page_id <> last THEN last END AS refers_to
 FROM c
 """
+
+#: All orders of the five filters, and what each step of them finds among the documents counted by failed filters.
+AUDIT = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id),
+failed AS (SELECT w.part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END)
+    + (CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 4 ELSE 0 END)
+    + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+    + (CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END) AS mask
+  FROM w LEFT JOIN marks ON w.doc_id = marks.doc_id),
+cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, mask),
+prefixes AS (SELECT '' AS p UNION ALL
+  SELECT p || l FROM prefixes, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(l) WHERE NOT contains(p, l)),
+steps AS (SELECT p, k AS step, substr(p, k, 1) AS letter, 1 << (ascii(substr(p, k, 1)) - 65) AS bit,
+    coalesce(list_sum(list_transform(range(1, k), lambda j: 1 << (ascii(substr(p, j, 1)) - 65))), 0)::INT AS done
+  FROM (SELECT p, unnest(range(1, 6)) AS k FROM prefixes WHERE length(p) = 5)),
+found AS (SELECT part, p, step, letter,
+    sum(CASE WHEN mask & (done | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN mask & done = 0 AND mask & bit <> 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN mask & done <> 0 AND mask & bit <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN mask & done = 0 AND mask & bit <> 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN mask & done = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM cells CROSS JOIN steps GROUP BY ALL)
+SELECT part, p AS filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM found
+"""

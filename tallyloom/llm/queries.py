@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import oracles, quality_cnn, toxicity_zstd
+from tallyloom.llm import byte_bpe, oracles, quality_cnn, toxicity_zstd
 from tallyloom.llm.common import table
+from tallyloom.llm.filter_audit import audit
 from tallyloom.llm.learning import remainder
 from tallyloom.llm.license_join import find_licenses
 from tallyloom.llm.mixing import mix
+from tallyloom.llm.periodic_runs import digest_of_runs, periodic_runs, with_planted_runs
 from tallyloom.llm.pii_disclosure import disclosures, listed
 from tallyloom.llm.quality_rules import judge
 from tallyloom.llm.simhash import near_duplicates
@@ -94,3 +96,21 @@ def op9_winnowing_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = through_packages(table(spark, sf_dir, "pages"), min_bytes=0)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_of_runs(periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")), min_length=12))
+
+
+@query()
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@query(oracles.AUDIT)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
