@@ -6,6 +6,8 @@ import math
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,9 @@ from tallyloom.session import ship_package
 
 #: Rows of one Arrow batch that a task hands back to the JVM.
 OUT_ROWS = 65_536
+#: Bytes of one Arrow batch that a task is given: the texts that it holds at once, on either side of Python.
+BATCH_BYTES = 8 << 20
+_BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,23 +44,23 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.settled_at = path
-    for tables in _WATCHED:
+    for tables in _watched.get():
         tables.append(out)
     return out
 
 
-#: Lists that get every table settled while they are watched.
-_WATCHED: list[list[DataFrame]] = []
+#: Lists that get every table settled while they are watched; another thread has lists of its own.
+_watched: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("watched", default=())
 
 
 @contextmanager
 def settled_into(tables: list[DataFrame]) -> Iterator[None]:
-    """Meanwhile settled tables are noted in `tables`, for whoever knows when they are done with."""
-    _WATCHED.append(tables)
+    """Meanwhile tables that this thread settles are noted in `tables`, for whoever knows when they are done with."""
+    before = _watched.set((*_watched.get(), tables))
     try:
         yield
     finally:
-        _WATCHED.remove(tables)
+        _watched.reset(before)
 
 
 def broadcast_if_small(settled: DataFrame, max_rows: int) -> DataFrame:
@@ -72,8 +77,11 @@ def discard(*settled: DataFrame) -> None:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
-    ship_package(df.sparkSession)
+    """mapInArrow with a function of one batch; the session's batches are cut to BATCH_BYTES unless they are smaller."""
+    spark = df.sparkSession
+    ship_package(spark)
+    if not 0 < _bytes_of(spark.conf.get(_BATCH_LIMIT)) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_LIMIT, BATCH_BYTES)
 
     def run(batches):
         for batch in batches:
@@ -83,6 +91,13 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(run, schema)
 
 
+def _bytes_of(setting: str) -> int:
+    """Bytes of a size as Spark writes it: 8388608, 8388608b, 8m, 64MB."""
+    number = setting.strip().lower().removesuffix("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(number[-1:], 0)
+    return int(number.rstrip("kmg")) << unit
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of every text, empty for null."""
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
@@ -92,7 +107,8 @@ def texts_of(column: pa.Array) -> list[bytes]:
 _WORDS = bytes(
     c | 0x20 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256)
 )
-_CACHE = 400_000
+#: Words that a task remembers, and their longest length in bytes.
+_CACHE, _LONGEST = 150_000, 64
 
 
 def words_of(raw: bytes) -> list[bytes]:
@@ -104,12 +120,20 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound. 0 and 1 are no word's hash."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > _CACHE:
-            self.clear()
-        value = self[word] = max(xxhash.xxh3_64_intdigest(word), 2)
+        value = max(xxhash.xxh3_64_intdigest(word), 2)
+        if len(word) <= _LONGEST:
+            if len(self) >= _CACHE:
+                self.clear()
+            self[word] = value
         return value
 
 
+@lru_cache(maxsize=1)
+def known_words() -> WordHashes:
+    """The words that this process remembers from batch to batch."""
+    return WordHashes()
+
+
 # ------------------------------------------------------------------ Bloom filter
 
 

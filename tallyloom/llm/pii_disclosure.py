@@ -29,7 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import OUT_ROWS, Bloom, WordHashes, bloom_of, map_batches, settle, words_of
+from tallyloom.llm.common import OUT_ROWS, Bloom, bloom_of, known_words, map_batches, settle, words_of
+from tallyloom.session import ship_package
 
 #: Kinds in the order in which they are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -120,10 +121,10 @@ def _terms(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[bytes, int
             yield words_of(m.group().encode())[0], a, b
 
 
-def with_entities(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+def with_entities(docs: DataFrame, carry: tuple[str, ...], row: str | None = None) -> DataFrame:
     """(row, doc_id, spans, entities, text_key, held) and the carried columns; held is the text of rows with entities."""
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])
-    kept = docs.select(F.col("doc_id").cast("long"), F.col("text").alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
+    kept = docs.select(F.col("doc_id").cast("long"), F.col("text").alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate((*carry, *([row] if row else [])))])
 
     carried = "text" in carry  # then it need not come back twice
 
@@ -145,39 +146,48 @@ def with_entities(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
                 pa.array(held, pa.string()),
                 *batch.columns[2:],
             ],
-            ["doc_id", "spans", "entities", "text_key", "held", *[f"_c{i}" for i in range(len(carry))]],
+            ["doc_id", "spans", "entities", "text_key", "held", *batch.schema.names[2:]],
         )
 
     schema = "doc_id long, spans array<struct<kind:string,start:long,stop:long>>, entities array<long>, text_key long, held string"
-    schema += "".join(f", _c{i} {kept.schema[f'_c{i}'].dataType.simpleString()}" for i in range(len(carry)))
+    schema += "".join(f", {f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[2:])
     out = map_batches(kept, run, schema)
     if carried:
         out = out.withColumn("held", F.when(F.size("entities") > 0, F.col(f"_c{carry.index('text')}")))
     own = ("doc_id", "spans", "entities", "text_key", "held")
-    return out.select(F.monotonically_increasing_id().alias("row"), *own, *[F.col(f"_c{i}").alias(f"_kept_{c}") for i, c in enumerate(carry)])
+    number = F.col(f"_c{len(carry)}").cast("long") if row else F.monotonically_increasing_id()
+    return out.select(number.alias("row"), *own, *[F.col(f"_c{i}").alias(f"_kept_{c}") for i, c in enumerate(carry)])
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(term, n_term): documents that hold each term outside of entities."""
 
-    def run(batch):
-        hashes, counts = WordHashes(), Counter()
-        for text in batch.column(0).to_pylist():
-            text = text or ""
-            found = entities(text)
-            words = {w for w, _, _ in _terms(text, [x[1:] for x in found])} if found else set(words_of(text.encode()))
-            counts.update(map(hashes.__getitem__, words))
+    def counted(counts):
         keys = np.fromiter(counts, np.uint64, len(counts)) ^ np.uint64(1 << 63)
-        yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+        return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+
+    def run(batches):
+        hashes, counts = known_words(), Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                text = text or ""
+                found = entities(text)
+                words = {w for w, _, _ in _terms(text, [x[1:] for x in found])} if found else set(words_of(text.encode()))
+                counts.update(map(hashes.__getitem__, words))
+                if len(counts) > OUT_ROWS:
+                    yield counted(counts)
+                    counts.clear()
+        yield counted(counts)
 
-    return map_batches(docs.select("text"), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    ship_package(docs.sparkSession)
+    return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
 def _met(base: DataFrame, of_entity: Bloom, of_term: Bloom, of_pair: Bloom | None = None) -> DataFrame:
     """(row, text_key, entity, term): distinct pairs of a row's entities and its terms that pass the filters."""
 
     def run(batch):
-        hashes = WordHashes()
+        hashes = known_words()
         row_of, key_of = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for row, key, text, spans, own in zip(row_of, key_of, *[batch.column(i).to_pylist() for i in (2, 3, 4)]):
             own = np.array(own, np.int64)
@@ -214,7 +224,7 @@ def _marked(rows: DataFrame) -> DataFrame:
     place = pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("action", pa.string())])
 
     def run(batch):
-        hashes, out = WordHashes(), []
+        hashes, out = known_words(), []
         for text, spans, marks in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)]):
             action = {x["term"]: x["action"] for x in marks}
             found = ((hashes[w] - (1 << 63), a, b) for w, a, b in _terms(text, [(x["start"], x["stop"]) for x in spans]))
@@ -224,13 +234,17 @@ def _marked(rows: DataFrame) -> DataFrame:
     return map_batches(rows.select("row", "held", "spans", "marks"), run, "row long, terms array<struct<start:long,stop:long,action:string>>")
 
 
-def disclosures(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, carry: tuple[str, ...] = ()) -> DataFrame:
+def disclosures(
+    docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, carry: tuple[str, ...] = (), row: str | None = None
+) -> DataFrame:
     """(row, doc_id, spans, terms) and the carried columns of every row.
 
     `spans` are the entities as (kind, start, stop) in code points; `terms` are (start, stop, action) of all places of
-    the terms that disclose one of them, action being remove or generalise.
+    the terms that disclose one of them, action being remove or generalise. `row` is passed on from the column so named,
+    which must be unique, else it is a number. A caller with a row number needs to carry nothing: it can join what it wants
+    to the few rows with entities.
     """
-    base = settle(with_entities(docs, carry), "pii-entities")
+    base = settle(with_entities(docs, carry, row), "pii-entities")
     n = max(base.count(), 1)
     mentions = base.select("text_key", F.explode("entities").alias("entity")).groupBy("entity").agg(
         F.count(F.lit(1)).alias("n_entity"), (F.min("text_key") != F.max("text_key")).alias("apart")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import Bloom, WordHashes, bloom_of, map_batches, settle, texts_of, words_of
+from tallyloom.llm.common import Bloom, WordHashes, bloom_of, known_words, map_batches, settle, texts_of, words_of
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 def word_hashes(raw: bytes, known: WordHashes) -> np.ndarray:
@@ -80,7 +80,7 @@ def item_prints(items: DataFrame, span: int, gram: int) -> DataFrame:
     """(item_id, size, fp, around): fingerprints of items, with the words around them."""
 
     def run(batch):
-        known = WordHashes()
+        known = known_words()
         ids, sizes, prints, around = [], [], [], []
         for item, raw in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
             words = word_hashes(raw, known)
@@ -112,7 +112,7 @@ def text_prints(docs: DataFrame, bloom: Bloom, short: list[int], span: int, gram
     """(row, doc_id, n_words, size, fp, place, around): a text's words, and its fingerprints that some item may have."""
 
     def run(batch):
-        known = WordHashes()
+        known = known_words()
         counts, lengths, sizes, prints, places, around = [], [], [], [], [], []
         for raw in texts_of(batch.column(2)):
             words = word_hashes(raw, known)

@@ -11,7 +11,7 @@ import zipfile
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from text_tables import docs, prose  # noqa: F401  fixtures
+from text_tables import docs, nothing, prose  # noqa: F401  fixtures
 
 from tallyloom.llm import quality_cnn, toxicity_zstd, warc_zip
 from tallyloom.llm.queries import ORACLE, QUERIES
@@ -152,9 +152,38 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert ids["near_copies"].count(5) == 1 and 6 not in ids["near_copies"] and None in ids["near_copies"]
     assert set(ids["source_mix"]) <= set(ids["personal_data"]) and len(ids["source_mix"]) > 10
     whole = corpus_pipeline.run(spark, str(tmp_path))
-    assert sorted(map(repr, (tuple(r) for r in whole.collect()))) == sorted(map(repr, (tuple(r) for r in seen["source_mix"])))
+    want = sorted(map(repr, (tuple(r) for r in seen["source_mix"])))
+    assert sorted(map(repr, (tuple(r) for r in whole.collect()))) == want
+    # A second run leaves the first one's tables alone.
+    again = corpus_pipeline.run(spark, str(tmp_path))
+    for result in (whole, again):
+        assert sorted(map(repr, (tuple(r) for r in result.collect()))) == want
+
+
+def test_pipeline_of_empty_tables(spark, nothing, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    nothing.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_tables_are_noted_by_the_thread_that_settles_them(spark):
+    from threading import Thread
+
+    from tallyloom.llm.common import discard, settle, settled_into
+
+    mine, theirs = [], []
+    with settled_into(mine):
+        other = Thread(target=lambda: theirs.append(settle(spark.range(3), "theirs")))
+        other.start()
+        other.join()
+        own = settle(spark.range(2), "own")
+    assert [x.settled_at for x in mine] == [own.settled_at]
+    discard(*mine)
+    assert theirs[0].count() == 3
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(k.split("_")[0][2:]) for k in QUERIES) == list(range(1, 11))
-    assert set(ORACLE) == {k for k in QUERIES if k.split("_")[0] in ("op5", "op8", "op9", "op10")}
+    assert sorted(int(k.split("_")[0][2:]) for k in QUERIES) == list(range(1, 14))
+    assert set(ORACLE) == {k for k in QUERIES if k.split("_")[0] in ("op5", "op8", "op9", "op10", "op13")}
