@@ -29,8 +29,10 @@ from tallyloom.plans import query as Q
 from tallyloom.plans.views import (
     AS_OF,
     CENTS,
+    LATE,
     by_case,
     invoice_headers,
+    late_rows,
     line_rows,
     order_rows,
     rendered_files,
@@ -612,11 +614,11 @@ _LAYOUT_MAPPING = """CASE layout
     WHEN 2 THEN ['document_no','vendor.name','vendor.email','issued_on','due_on','currency','state','net_amount','tax_amount','grand_total',NULL,NULL,NULL,NULL,NULL,'lines']
     ELSE ['Document No','Payee',NULL,'Issued',NULL,NULL,NULL,NULL,NULL,'Total Incl. Tax',NULL,NULL,NULL,NULL,NULL,NULL] END"""
 MAPPED = f"""
-codes AS (SELECT file, code, count(*) AS n, min(row_no) AS seen FROM ord WHERE row_no <= 201 GROUP BY file, code),
+codes AS (SELECT file, code, count(*) AS n, min(row_no) AS seen FROM ord GROUP BY file, code),
 common AS (SELECT file, arg_min(code, [-n, seen]) AS code FROM codes GROUP BY file),
 days AS (SELECT file, coalesce(arg_min(lpad(CAST(day(day) AS VARCHAR), 2, '0'), row_no) FILTER (WHERE day(day) > 12),
     arg_min(CAST(day(due) AS VARCHAR), row_no)) AS first_day, arg_min(CAST(day(day) AS VARCHAR), row_no) AS first_issued
-  FROM ord WHERE row_no <= 201 GROUP BY file),
+  FROM ord GROUP BY file),
 mapped AS (SELECT layout, file, {_LAYOUT_MAPPING} AS f,
     CASE layout WHEN 0 THEN common.code WHEN 1 THEN 'EUR' WHEN 2 THEN 'GBP' ELSE 'USD' END AS currency_default,
     CASE layout WHEN 0 THEN 'DMY' WHEN 3 THEN 'MDY' ELSE 'ISO' END AS date_format,
@@ -639,6 +641,38 @@ def q_heuristic_mapping(spark, sf):
     )
 
 
+_NO_CURRENCY = "'No currency column or symbol found; assuming USD.'"
+_LATE_NOTES = f"""CASE kind
+  WHEN 0 THEN '''Total'' is the invoice total, so ''Amount'' is read as the line amount.|' || CASE WHEN repeats THEN '''Invoice'' repeats across rows, so rows are grouped into one invoice per number.|' ELSE '' END || {_NO_CURRENCY} || '|No column matched vendor name; it will be derived or left blank.'
+  WHEN 1 THEN 'No invoice-level total column, so ''Amount'' is read as the invoice total.|' || {_NO_CURRENCY} || '|Dates read as year-month-day.'
+  WHEN 2 THEN {_NO_CURRENCY} || '|' || CASE WHEN day IS NULL THEN 'Dates like 03/08/2026 are ambiguous; day-month-year was not confirmed.'
+    ELSE 'Dates read as day-month-year (a day part of ' || day || ' rules out month-first).' END
+  WHEN 3 THEN 'Currency defaults to ' || code || ', the most common value in ''Ccy''.|Date order could not be determined from the sample; dates are parsed leniently.'
+  ELSE CASE WHEN late THEN 'Currency inferred as EUR from the € symbol in ''Total''.' ELSE {_NO_CURRENCY} END
+    || '|No column matched invoice date; it will be derived or left blank.' END"""
+
+
+@query(f"""WITH k AS (SELECT c_nationkey % 5 AS kind, 'late-' || c_nationkey || '.csv' AS file, CAST(o_orderdate AS DATE) AS day,
+  row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderkey) + 1 AS row_no FROM orders JOIN customer ON o_custkey = c_custkey),
+n AS (SELECT kind, file, count(*) > {LATE} AS late, count(*) > {LATE} + 7 AS repeats,
+  arg_min(lpad(CAST(day(day) AS VARCHAR), 2, '0'), row_no) FILTER (WHERE row_no > {LATE} + 1 AND day(day) > 12) AS day,
+  CASE WHEN count(*) > 300 THEN 'EUR' ELSE 'USD' END AS code FROM k GROUP BY kind, file)
+SELECT file, CASE WHEN kind = 0 AND repeats THEN 'line_item' ELSE 'invoice' END AS granularity,
+  CASE kind WHEN 0 THEN 'Invoice' ELSE 'Ref' END AS invoice_number, CASE kind WHEN 1 THEN 'Amount' ELSE 'Total' END AS total,
+  CASE kind WHEN 0 THEN 'Amount' END AS line_item_amount, CASE WHEN kind = 4 AND late THEN 'Misc' END AS line_items_json,
+  CASE WHEN kind = 3 THEN code WHEN kind = 4 AND late THEN 'EUR' ELSE 'USD' END AS currency_default,
+  CASE WHEN kind = 0 THEN 'ISO' WHEN kind = 1 THEN 'YMD' WHEN kind = 2 AND day IS NOT NULL THEN 'DMY' ELSE 'unknown' END AS date_format,
+  {_LATE_NOTES} AS notes FROM n""")
+def q_late_decisions(spark, sf):
+    """Files that only rows past the 250th decide: repeats, lists, symbols, codes and days."""
+    staged = late_rows(spark, sf)
+    mapping = M.heuristic_mapping(staged.cells, staged.headers)
+    return mapping.select(
+        "file", "granularity", "invoice_number", "total", "line_item_amount", "line_items_json", "currency_default", "date_format",
+        F.array_join("notes", "|").alias("notes"),
+    )
+
+
 @query(f"""WITH {ORD} SELECT DISTINCT file, 5 AS header_no, 'Comment' AS header FROM ord WHERE layout = 1""")
 def q_unmapped_columns(spark, sf):
     staged = staged_orders(spark, sf)

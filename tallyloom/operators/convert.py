@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.cells import is_code, parse_currency, parse_status, with_dates, with_money
 from tallyloom.functions.lines import SYNTHESIZED_DESCRIPTION, build_line, parse_line_cell, round_line, sum_amounts
 from tallyloom.functions.text import file_stem, money_text, norm_key, quoted, strip
-from tallyloom.operators.numbering import number_rows, slice_of
+from tallyloom.operators.numbering import measured, number_rows, slice_of
 from tallyloom.operators.validate import (
     array_line_notes,
     closing_notes,
@@ -90,18 +90,9 @@ class Rows:
     mapping: DataFrame
 
 
-BROADCAST_BYTES = 32 * 1024 * 1024
-
-
-def _sized(mapping: DataFrame) -> DataFrame:
-    """Broadcast the mapping table only after measuring it; a larger one is joined by shuffle."""
-    size = mapping.agg(F.sum(F.octet_length(F.to_json(F.struct(*mapping.columns))))).first()[0] or 0
-    return F.broadcast(mapping) if size <= BROADCAST_BYTES else mapping
-
-
 def rows_from_cells(cells: DataFrame, mapping: DataFrame) -> Rows:
     """Look every mapped column up in the cell map: file, row_no, m, one text column per field."""
-    structs = _sized(
+    structs = measured(
         mapping.select("file", F.struct(*[c for c in mapping.columns if c != "file"]).alias("m"))
     )
     m = F.col("m")

@@ -1,21 +1,23 @@
 """Which source column feeds which invoice field: set-based over all files at once.
 
-Headers are matched to synonyms by an equi-join on header word sequences, the one-to-one assignment
-is a fold over each file's scored candidates, and value sniffing looks at the first 200 rows of each
-file, held in one array. Everything per file is bounded by its header count and that sample.
+Headers are matched to synonyms by an equi-join on header word sequences, and the one-to-one assignment
+is a fold over each file's scored candidates, which its header count bounds. What the values say is decided on all
+rows of a file, by aggregates that combine on the map side (any, all, count, first by row number): no task gathers
+a file, and a shuffle carries one row per file and task, or one per distinct invoice number where repeats are looked for.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.cells import CURRENCY_SYMBOLS, is_code, symbol_code
 from tallyloom.functions.text import blank_to_empty, norm_key, quoted, tokens
-from tallyloom.operators.numbering import ensure_checkpoint_dir
+from tallyloom.operators.numbering import ensure_checkpoint_dir, measured
 from tallyloom.schema import LINE_FIELDS, MAPPED_FIELDS, MAPPING, MONEY_FIELDS, STATUSES
 
-SNIFF_ROWS = 200  # Fixed value: rows of a file the sniffers look at.
 AMOUNT = "amount"
 
 # Header wording per invoice field. Field order is the tie-break order.
@@ -44,7 +46,6 @@ SYNONYMS = {
 }
 # Points per match shape; the length of the synonym is added.
 EXACT, LEADING, TRAILING, INNER, JSON_LIST = 100, 70, 60, 50, 95
-MAX_SYNONYM_WORDS = 3
 
 
 def synonym_table(spark: SparkSession) -> DataFrame:
@@ -87,7 +88,8 @@ def _sequences(header: Column) -> Column:
         )
 
     whole = F.array(F.struct(F.concat(F.lit("whole "), norm_key(header)).alias("key"), F.lit(EXACT).alias("points")))
-    return F.concat(whole, *[at_width(w) for w in range(1, MAX_SYNONYM_WORDS + 1)])
+    longest = max(len(re.findall("[a-z0-9]+", synonym)) for synonyms in SYNONYMS.values() for synonym in synonyms)
+    return F.concat(whole, *[at_width(w) for w in range(1, longest + 1)])
 
 
 def header_candidates(header_table: DataFrame) -> DataFrame:
@@ -123,27 +125,19 @@ def header_scores(staged_headers: DataFrame) -> DataFrame:
     )
 
 
-def sniff_sample(cells: DataFrame) -> DataFrame:
-    """First 200 rows of each file as one ordered array of cell maps."""
-    first = cells.where(F.col("row_no") <= SNIFF_ROWS + 1)
-    return first.groupBy("file").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("row_no", F.map_entries("cells").alias("entries")))),
-            lambda row: F.map_from_entries(row["entries"]),
-        ).alias("sample")
-    )
-
-
-def sample_values(sample: Column, header: Column) -> Column:
-    """Non-blank cells of one column, in row order; staged cells are trimmed already."""
-    return F.filter(F.transform(sample, lambda row: row[header]), lambda v: v != "")
-
-
 def _is_json_list(value: Column) -> Column:
     kind = F.schema_of_variant(F.try_parse_json(value))
     return F.startswith(value, F.lit("[")) & F.coalesce(F.startswith(kind, F.lit("ARRAY")), F.lit(False))
 
 
+def json_list_columns(cells: DataFrame) -> DataFrame:
+    """(file, json_lists): the columns of a file of which some cell is a JSON list."""
+    lists = F.map_filter("cells", lambda _h, v: F.startswith(v, F.lit("[")))
+    found = cells.select("file", F.explode(lists).alias("header", "value")).where(_is_json_list(F.col("value")))
+    # Distinct combines on the map side, so what is collected is a file's header names, once each.
+    return found.select("file", "header").distinct().groupBy("file").agg(F.collect_list("header").alias("json_lists"))
+
+
 def _assign(candidates: Column) -> Column:
     """Best score first, then earlier field, then earlier column; each side is used once."""
     start = F.struct(F.array().cast("array<string>").alias("targets"), F.array().cast("array<string>").alias("headers"))
@@ -163,38 +157,76 @@ def _field_list(assigned: Column, fields: tuple[str, ...]) -> Column:
     return F.array_compact(F.array(*[assigned[name] for name in fields]))
 
 
-def _currency(df: DataFrame) -> DataFrame:
-    assigned, sample, headers = F.col("assigned"), F.col("sample"), F.col("headers")
-    column = assigned["currency"]
-    codes = F.when(
-        column.isNotNull(), F.transform(F.filter(sample_values(sample, column), is_code), F.upper)
-    ).otherwise(F.array().cast("array<string>"))
+_ISO_CELL = r"^\d{4}-\d{1,2}-\d{1,2}(?:[T ]|$)"
+_NUMERIC_CELL = r"^(\d{1,4})[/.\-](\d{1,2})[/.\-](\d{1,4})$"
+_DATE_FIELDS = ("invoice_date", "due_date")
+
+
+def _wanted_columns(assigned_files: DataFrame) -> DataFrame:
+    """One row per file: the columns whose values are looked at, and for what."""
+    assigned = F.col("assigned")
     money = _field_list(assigned, MONEY_FIELDS)
-    df = df.withColumn("_codes", codes).withColumn(
-        "_money", F.when(F.size(money) > 0, money).otherwise(headers)
+    lined = F.size(_field_list(assigned, LINE_FIELDS)) >= 2
+    return assigned_files.select(
+        "file",
+        F.when(lined, assigned["invoice_number"]).alias("number"),
+        assigned["currency"].alias("currency"),
+        F.when(F.size(money) > 0, money).otherwise(F.col("headers")).alias("money"),
+        *[assigned[name].alias(name) for name in _DATE_FIELDS],
     )
-    ranked = F.transform(
-        F.array_distinct("_codes"),
-        lambda code: F.struct(
-            (-F.size(F.filter("_codes", lambda c: c == code))).alias("less"),
-            F.array_position("_codes", code).alias("seen"),
-            code.alias("code"),
-        ),
+
+
+def _facts_of_rows() -> list[Column]:
+    """Aggregates of a file over all rows: the first currency symbol, and what its date cells look like.
+
+    The symbol is the first by money column, then by row; days and seconds are the first parts of a date over 12, by date
+    column, then by row.
+    """
+    cells = F.col("cells")
+    hits = F.transform(
+        "money", lambda h, i: F.struct(i.alias("place"), symbol_code(cells[h]).alias("code"), h.alias("header"))
     )
-    # Columns in money order, cells in row order, symbols in table order: the first hit decides.
-    hits = F.flatten(
-        F.transform(
-            "_money",
-            lambda h: F.transform(
-                F.filter(sample_values(sample, h), lambda v: symbol_code(v).isNotNull()),
-                lambda v: F.struct(symbol_code(v).alias("code"), h.alias("header")),
-            ),
-        )
+    hit = F.get(F.filter(hits, lambda x: x["code"].isNotNull()), F.lit(0))
+    first_hit = F.min(
+        F.when(hit.isNotNull(), F.struct(hit["place"], F.col("row_no"), hit["code"].alias("code"), hit["header"].alias("header")))
     )
-    df = df.withColumn("_common", F.get(F.array_sort(ranked), F.lit(0))["code"]).withColumn(
-        "_hit", F.when(F.col("_common").isNull(), F.get(hits, F.lit(0)))
+    out = [first_hit.alias("hit")]
+    for i, name in enumerate(_DATE_FIELDS):
+        value = cells[F.col(name)]
+        blank = F.coalesce(value == "", F.lit(True))
+        triple = ~blank & value.rlike(_NUMERIC_CELL)
+        first, second = (F.when(triple, F.regexp_extract(value, _NUMERIC_CELL, k)) for k in (1, 2))
+        over = [F.when(part.cast("int") > 12, F.struct(F.col("row_no"), part.alias("part"))) for part in (first, second)]
+        out += [
+            F.count_if(~blank).alias(f"dates_{i}"),
+            F.bool_and(F.when(~blank, value.rlike(_ISO_CELL))).alias(f"iso_{i}"),
+            F.count_if(triple).alias(f"triples_{i}"),
+            F.bool_and(F.length(first) == 4).alias(f"year_first_{i}"),
+            F.min(over[0])["part"].alias(f"day_{i}"),
+            F.min(over[1])["part"].alias(f"second_{i}"),
+        ]
+    return out
+
+
+def sniffed(cells: DataFrame, assigned_files: DataFrame) -> DataFrame:
+    """What the values of each file say, over all its rows: symbols, codes, dates, and whether invoice numbers repeat."""
+    rows = cells.join(measured(_wanted_columns(assigned_files)), "file")
+    facts = rows.groupBy("file").agg(*_facts_of_rows())
+
+    code = F.col("cells")[F.col("currency")]
+    codes = rows.where(is_code(code)).groupBy("file", F.upper(code).alias("code")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("row_no").alias("seen")
     )
-    common, hit = F.col("_common"), F.col("_hit")
+    common = codes.groupBy("file").agg(F.max_by("code", F.struct("n", -F.col("seen"))).alias("common"))
+
+    number = F.col("cells")[F.col("number")]
+    keys = rows.where(number != "").groupBy("file", norm_key(number).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    repeated = keys.groupBy("file").agg(F.max(F.col("n") > 1).alias("repeats"))
+    return facts.join(common, "file", "left").join(repeated, "file", "left")
+
+
+def _currency(df: DataFrame) -> DataFrame:
+    common, hit, column = F.col("common"), F.col("hit"), F.col("assigned")["currency"]
     symbol = F.create_map(*[F.lit(x) for s, c in CURRENCY_SYMBOLS.items() for x in (c, s)])
     note = (
         F.when(
@@ -212,55 +244,37 @@ def _currency(df: DataFrame) -> DataFrame:
     )
     return df.withColumns(
         {"currency_default": F.coalesce(common, hit["code"], F.lit("USD")), "currency_note": note}
-    ).drop("_codes", "_money", "_common", "_hit")
+    )
 
 
-_ISO_CELL = r"^\d{4}-\d{1,2}-\d{1,2}(?:[T ]|$)"
-_NUMERIC_CELL = r"^(\d{1,4})[/.\-](\d{1,2})[/.\-](\d{1,4})$"
+def _date_order(df: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("string")
 
+    def total(name: str) -> Column:
+        return sum((F.coalesce(F.col(f"{name}_{i}"), F.lit(0)) for i in range(len(_DATE_FIELDS))), F.lit(0))
 
-def _date_order(df: DataFrame) -> DataFrame:
-    assigned, sample = F.col("assigned"), F.col("sample")
-    none = F.array().cast("array<string>")
-    values = F.concat(
-        *[
-            F.when(assigned[name].isNotNull(), sample_values(sample, assigned[name])).otherwise(none)
-            for name in ("invoice_date", "due_date")
-        ]
-    )
-    df = df.withColumn("_dates", values)
-    triples = F.transform(
-        F.filter("_dates", lambda v: v.rlike(_NUMERIC_CELL)),
-        lambda v: F.struct(
-            F.regexp_extract(v, _NUMERIC_CELL, 1).alias("first"),
-            F.regexp_extract(v, _NUMERIC_CELL, 2).alias("second"),
-        ),
-    )
-    df = df.withColumn("_triples", triples)
-    df = df.withColumns(
-        {
-            "_day": F.get(F.filter("_triples", lambda t: t["first"].cast("int") > 12), F.lit(0))["first"],
-            "_second": F.get(F.filter("_triples", lambda t: t["second"].cast("int") > 12), F.lit(0))["second"],
-        }
-    )
+    def every(name: str) -> Column:
+        return F.coalesce(F.col(f"{name}_0"), F.lit(True)) & F.coalesce(F.col(f"{name}_1"), F.lit(True))
+
+    day, second = (F.coalesce(F.col(f"{name}_0"), F.col(f"{name}_1")) for name in ("day", "second"))
     cases = [
-        (F.size("_dates") == 0, "unknown", F.lit(None).cast("string")),
-        (F.forall("_dates", lambda v: v.rlike(_ISO_CELL)), "ISO", F.lit(None).cast("string")),
+        (total("dates") == 0, "unknown", none),
+        (every("iso"), "ISO", none),
         (
-            F.size("_triples") == 0,
+            total("triples") == 0,
             "unknown",
             F.lit("Date order could not be determined from the sample; dates are parsed leniently."),
         ),
-        (F.forall("_triples", lambda t: F.length(t["first"]) == 4), "YMD", F.lit("Dates read as year-month-day.")),
+        (every("year_first"), "YMD", F.lit("Dates read as year-month-day.")),
         (
-            F.col("_day").isNotNull(),
+            day.isNotNull(),
             "DMY",
-            F.concat(F.lit("Dates read as day-month-year (a day part of "), F.col("_day"), F.lit(" rules out month-first).")),
+            F.concat(F.lit("Dates read as day-month-year (a day part of "), day, F.lit(" rules out month-first).")),
         ),
         (
-            F.col("_second").isNotNull(),
+            second.isNotNull(),
             "MDY",
-            F.concat(F.lit("Dates read as month-day-year (a part of "), F.col("_second"), F.lit(" rules out day-first).")),
+            F.concat(F.lit("Dates read as month-day-year (a part of "), second, F.lit(" rules out day-first).")),
         ),
     ]
     order = F.lit("unknown")
@@ -268,17 +282,11 @@ def _date_order(df: DataFrame) -> DataFrame:
     for condition, name, text in reversed(cases):
         order = F.when(condition, F.lit(name)).otherwise(order)
         note = F.when(condition, text).otherwise(note)
-    return df.withColumns({"date_format": order, "date_note": note}).drop("_dates", "_triples", "_day", "_second")
+    return df.withColumns({"date_format": order, "date_note": note})
 
 
 def _granularity(df: DataFrame) -> DataFrame:
-    assigned = F.col("assigned")
-    number = assigned["invoice_number"]
-    values = F.transform(sample_values(F.col("sample"), number), norm_key)
-    repeats = F.when(
-        (F.size(_field_list(assigned, LINE_FIELDS)) >= 2) & number.isNotNull(),
-        F.size(values) > F.size(F.array_distinct(values)),
-    ).otherwise(F.lit(False))
+    number, repeats = F.col("assigned")["invoice_number"], F.coalesce("repeats", F.lit(False))
     return df.withColumns(
         {
             "granularity": F.when(repeats, F.lit("line_item")).otherwise(F.lit("invoice")),
@@ -318,24 +326,24 @@ def _bare_amount(df: DataFrame) -> DataFrame:
     ).drop("_spare", "_assigned", "taken")
 
 
-def heuristic_mapping(cells: DataFrame, headers: DataFrame) -> DataFrame:
-    """One mapping row per file from header names and sniffed values."""
-    sample = sniff_sample(cells)
+def heuristic_mapping(cells: DataFrame, headers: DataFrame, sniff_rows: int | None = None) -> DataFrame:
+    """One mapping row per file from header names and sniffed values.
+
+    Values are judged on all rows of a file, or on its first `sniff_rows` rows where a caller wants such a window.
+    """
+    seen = cells if sniff_rows is None else cells.where(F.col("row_no") <= sniff_rows + 1)
     by_name = header_candidates(header_rows(headers)).groupBy("file").agg(
         F.collect_list(
             F.struct((-F.col("score")).alias("rank"), "target_no", "header_no", "target", "header")
         ).alias("by_name")
     )
-    files = headers.join(sample, "file", "left").join(by_name, "file", "left")
-    no_rows = F.array().cast("array<map<string,string>>")
+    files = headers.join(json_list_columns(seen), "file", "left").join(by_name, "file", "left")
     no_hits = F.array().cast("array<struct<rank:int,target_no:int,header_no:int,target:string,header:string>>")
-    files = files.withColumns(
-        {"sample": F.coalesce("sample", no_rows), "by_name": F.coalesce("by_name", no_hits)}
-    )
+    files = files.withColumn("by_name", F.coalesce("by_name", no_hits))
     packed = F.transform(
         "headers",
         lambda h, i: F.when(
-            F.exists(sample_values(F.col("sample"), h), _is_json_list),
+            F.coalesce(F.array_contains("json_lists", h), F.lit(False)),
             F.struct(
                 F.lit(-JSON_LIST).alias("rank"),
                 F.lit(list(SYNONYMS).index("line_items_json")).alias("target_no"),
@@ -346,8 +354,12 @@ def heuristic_mapping(cells: DataFrame, headers: DataFrame) -> DataFrame:
         ),
     )
     scored = files.withColumn("_scored", F.concat("by_name", F.array_compact(packed)))
-    taken = scored.withColumn("taken", _assign(F.col("_scored"))).drop("_scored", "by_name")
-    sniffed = _date_order(_currency(_granularity(_bare_amount(taken))))
+    taken = scored.withColumn("taken", _assign(F.col("_scored"))).drop("_scored", "by_name", "json_lists")
+    ensure_checkpoint_dir(cells.sparkSession)
+    # Which column feeds which field, one row per file: fixed before the values of those columns are read.
+    assigned_files = _bare_amount(taken).checkpoint()
+    decided = assigned_files.join(sniffed(seen, assigned_files), "file", "left")
+    decided = _date_order(_currency(_granularity(decided)))
     missing = [
         F.when(
             F.col("assigned")[name].isNull(),
@@ -356,8 +368,7 @@ def heuristic_mapping(cells: DataFrame, headers: DataFrame) -> DataFrame:
         for name in ("invoice_number", "vendor_name", "invoice_date", "total")
     ]
     notes = F.array_compact(F.array("amount_note", "granularity_note", "currency_note", "date_note", *missing))
-    ensure_checkpoint_dir(cells.sparkSession)
-    chosen = sniffed.select(
+    chosen = decided.select(
         "file",
         "granularity",
         *[F.col("assigned")[name].alias(name) for name in MAPPED_FIELDS],

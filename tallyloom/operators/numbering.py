@@ -46,6 +46,16 @@ def number_rows(
     )
 
 
+#: Tables of one row per file are broadcast up to this size.
+BROADCAST_BYTES = 32 * 1024 * 1024
+
+
+def measured(small: DataFrame) -> DataFrame:
+    """Broadcast a table of one row per file only after measuring it; a larger one is joined by shuffle."""
+    size = small.agg(F.sum(F.octet_length(F.to_json(F.struct(*small.columns))))).first()[0] or 0
+    return F.broadcast(small) if size <= BROADCAST_BYTES else small
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names. Where none is set, a private one on one machine, an error on a cluster."""
     context = spark.sparkContext

@@ -236,3 +236,51 @@ def line_rows(spark: SparkSession, sf_dir: str) -> Staged:
     cells = numbered.select("file", F.col("row_no").cast("long").alias("row_no"), F.map_from_arrays(names, F.array(*values)).alias("cells"))
     files = joined.select("file").distinct().select("file", names.alias("headers"))
     return Staged(cells, files)
+
+
+# ------------------------------------------------------------------ exports whose layout only late rows give away
+
+#: Rows before those that decide.
+LATE = 250
+LATE_HEADERS = {
+    0: ("Invoice", "Total", "Amount", "Item", "Qty", "Date"),
+    1: ("Ref", "Vendor", "Amount", "Issued"),
+    2: ("Ref", "Vendor", "Total", "Date"),
+    3: ("Ref", "Vendor", "Total", "Date", "Ccy"),
+    4: ("Ref", "Vendor", "Total", "Misc"),
+}
+
+
+def late_rows(spark: SparkSession, sf_dir: str) -> Staged:
+    """Every order as a staged row of its nation's export, in five layouts.
+
+    Past row `LATE` numbers repeat (0), days exceed twelve (2), another code is the most common (3), and lists and symbols
+    turn up (4); dates are year first in (1) and spelt out in (3).
+    """
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    kind, key = F.col("c_nationkey") % 5, F.col("o_orderkey")
+    named = orders.withColumn("file", F.concat(F.lit("late-"), F.col("c_nationkey").cast("string"), F.lit(".csv")))
+    sliced = named.withColumn("_slice", F.shiftright("o_orderkey", 16))
+    rows = number_rows(sliced, ["file"], ["_slice"], ["o_orderkey"], "row_no", start=2)
+    late = F.col("row_no") > LATE + 1
+    day, text = F.col("o_orderdate").cast("date"), key.cast("string")
+    price = F.col("o_totalprice").cast(CENTS).cast("string")
+    early_day = F.make_date(F.year(day), F.month(day), F.day(day) % 12 + 1)
+    again = F.concat(F.lit("n "), (F.col("row_no") % 7).cast("string"))
+    values = {
+        0: (F.when(late, again).otherwise(F.concat(F.lit("K-"), text)), price, price, F.lit("Goods"), F.lit("1"), day.cast("string")),
+        1: (text, F.col("c_name"), price, F.date_format(day, "yyyy/MM/dd")),
+        2: (text, F.col("c_name"), price, F.date_format(F.when(late, day).otherwise(early_day), "dd/MM/yyyy")),
+        3: (text, F.col("c_name"), price, F.date_format(day, "d MMMM yyyy"), F.when(F.col("row_no") > 151, "eur").otherwise("USD")),
+        4: (
+            text,
+            F.col("c_name"),
+            F.concat(F.when(late, "€ ").otherwise(""), price),
+            F.when(late, F.concat(F.lit('[{"description": "Part '), text, F.lit('", "amount": 2}]'))).otherwise(F.lit("none")),
+        ),
+    }
+    names = {k: F.array(*[F.lit(h) for h in heads]) for k, heads in LATE_HEADERS.items()}
+    packed = {k: F.map_from_arrays(names[k], F.array(*values[k])) for k in values}
+    cells = rows.select("file", F.col("row_no").cast("long").alias("row_no"), by_case(kind, packed).alias("cells"))
+    files = named.select("file", by_case(kind, names).alias("headers")).distinct()
+    return Staged(cells, files)
