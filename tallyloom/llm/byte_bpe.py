@@ -3,7 +3,7 @@
 A text is cut into pieces by a pattern, and each piece is encoded by itself: a piece that is in the vocabulary is one token; otherwise
 the adjacent pair whose bytes have the lowest rank is merged, leftmost first, until no adjacent pair is in the vocabulary.
 
-Tree. A piece of up to `leaf` bytes is merged directly. A longer one is cut near its middle, at a multiple of `leaf`, the halves are encoded the same way, and
+Tree. A piece of up to `leaf` bytes is encoded directly. A longer one is cut near its middle, at a multiple of `leaf`, the halves are encoded the same way, and
 the two token sequences are joined: some tokens on either side of the cut are taken back to bytes and encoded anew, more of them on
 a side until the tokens outside provably stand. The proof rests on this: a sequence of tokens is the encoding of its
 bytes if, and only if, every two neighbours of it are the encoding of their own bytes. (Before the first merge across a
@@ -22,12 +22,14 @@ pieces up to a bound. Very long texts are cut into pieces whole; a piece without
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,8 @@ from tallyloom.llm.common import map_batches
 
 #: Pieces that a task remembers, and their longest length in characters.
 _REMEMBERED, _SHORT = 200_000, 32
+#: Windows up to so many bytes are remembered.
+_SMALL = 12
 #: Windows over so many bytes are merged with a heap.
 _LONG = 96
 #: Ids that are joined at once at the foot of a decoding tree.
@@ -51,7 +55,7 @@ class _Remembered(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            ids = np.array(self.of.piece(piece), np.int32).tobytes()
+            ids = array("i", self.of.piece(piece)).tobytes()
         if len(piece) <= _SHORT:
             if len(self) >= _REMEMBERED:
                 self.older = dict(self)
@@ -63,12 +67,13 @@ class _Remembered(dict):
 class Vocabulary:
     """Ranks of byte strings; all 256 single bytes are among them."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = 16):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = 4):
         self.ranks, self.leaf = ranks, leaf
         self.bytes_of = {i: b for b, i in ranks.items()}
         self._beyond = max(self.bytes_of) + 1
         self.pieces = regex.compile(pattern)
-        self._stands: dict[tuple[int, int], bool] = {}
+        self._shorts: dict[bytes, list[int]] = {}
+        self._stands: dict[int, bool] = {}
         self._known = _Remembered(self)
 
     def merged(self, raw: bytes) -> list[int]:
@@ -117,11 +122,21 @@ class Vocabulary:
 
     def stands(self, a: int, b: int) -> bool:
         """Whether two tokens are the encoding of their bytes."""
-        known = self._stands.get((a, b))
+        key = a << 32 | b
+        known = self._stands.get(key)
         if known is None:
-            if len(self._stands) > _REMEMBERED:
+            if len(self._stands) > 2 * _REMEMBERED:
                 self._stands.clear()
-            known = self._stands[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            known = self._stands[key] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        return known
+
+    def short(self, raw: bytes) -> list[int]:
+        """Tokens of a leaf or a small window, remembered: few of them are new, as there are few byte strings of such length."""
+        known = self._shorts.get(raw)
+        if known is None:
+            if len(self._shorts) >= _REMEMBERED:
+                self._shorts.clear()
+            known = self._shorts[raw] = self.merged(raw)
         return known
 
     def joined(self, left: list[int], right: list[int]) -> list[int]:
@@ -131,7 +146,8 @@ class Vocabulary:
         i, j = 1, 1
         while True:
             window = b"".join(map(self.bytes_of.__getitem__, chain(left[-i:], right[:j])))
-            middle = self.merged(window) if len(window) <= _LONG else self.merged_long(window)
+            size = len(window)
+            middle = self.short(window) if size <= _SMALL else self.merged(window) if size <= _LONG else self.merged_long(window)
             before, after = left[:-i], right[j:]
             grow_left = before and not self.stands(before[-1], middle[0])
             grow_right = after and not self.stands(middle[-1], after[0])
@@ -143,7 +159,7 @@ class Vocabulary:
 
     def tree(self, raw: bytes) -> list[int]:
         if len(raw) <= self.leaf:
-            return self.merged(raw)
+            return self.short(raw)
         half = max(len(raw) // 2 // self.leaf, 1) * self.leaf
         return self.joined(self.tree(raw[:half]), self.tree(raw[half:]))
 
@@ -163,7 +179,7 @@ class Vocabulary:
 
 
 @lru_cache(maxsize=4)
-def vocabulary(raw: bytes, pattern: str, leaf: int = 16) -> Vocabulary:
+def vocabulary(raw: bytes, pattern: str, leaf: int = 4) -> Vocabulary:
     """From the lines of a rank file: a token in base64, a blank, its rank."""
     lines = (line.split() for line in raw.splitlines() if line.strip())
     return Vocabulary({base64.b64decode(token): int(rank) for token, rank in lines}, pattern, leaf)
@@ -203,7 +219,8 @@ def decoded(tokens: DataFrame, ranks: str, pattern: str, carry: tuple[str, ...]
         words = vocabulary(raw.value, pattern)
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
-            whole = [b"" if x is None else words.decode(x) for x in part.column(0).to_pylist()]
+            ids, stops = part.column(0).flatten().to_numpy(), np.cumsum(pc.list_value_length(part.column(0)).fill_null(0).to_numpy())
+            whole = [words.decode(x.tolist()) for x in np.split(ids, stops[:-1])]
             yield pa.record_batch([pa.array(whole, pa.binary()), *part.columns[1:]], ["bytes", *carry])
 
     return map_batches(tokens.select("ids", *carry), run, "bytes binary" + _carried(tokens, carry))
