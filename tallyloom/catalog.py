@@ -40,8 +40,9 @@ from tallyloom.plans.views import (
 )
 from tallyloom.schema import INVOICE_DRAFT, MAPPED_FIELDS
 from tallyloom.sources.intake import MAX_FILE_BYTES, classify, parse_records, text_gate
-from tallyloom.sources.ledger import Ledger
-from tallyloom.sources.staging import Staged, clean_headers, decode_exports, from_dataframe, stage_files
+from tallyloom.sources.ledger import ConcurrentSave, DuplicateInvoice, Ledger, to_ledger_rows
+from tallyloom.sources.staging import Staged, clean_headers, from_dataframe, stage_files
+from tallyloom.streaming.landing import ingest_landing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -207,6 +208,118 @@ def q_saved_ledger(spark, sf):
     return ledger.invoices().select("id", "invoice_number", money("total"), "source")
 
 
+def _order_drafts(spark: SparkSession, sf: str, number: Column) -> DataFrame:
+    """Orders as drafts with one line each, under the given number; `pos` is their order."""
+    total = F.col("o_totalprice").cast(CENTS)
+    line = F.struct(F.lit("Goods").alias("description"), F.lit(1).alias("quantity"), total.alias("unit_price"), total.alias("amount"))
+    columns = {"invoice_number": number, "vendor_name": F.lit("Vendor"), "invoice_date": F.col("o_orderdate").cast("date"),
+               "currency": F.lit("USD"), "line_items": F.array(line), "subtotal": total, "tax": F.lit(0), "total": total, "status": F.lit("paid")}
+    draft = [columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in INVOICE_DRAFT.fields]
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("pos"), *draft)
+
+
+def _fresh_ledger(spark: SparkSession) -> Ledger:
+    return Ledger(spark, f"{ensure_checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}")
+
+
+STAMP = datetime(2026, 8, 21)
+
+
+@query("""WITH k AS (SELECT o_orderkey AS k, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DOUBLE) AS total FROM orders)
+SELECT 'old' AS version, row_number() OVER (ORDER BY k) AS id, 'A-' || k AS invoice_number, total, 'imported' AS source FROM k WHERE k % 2 = 0
+UNION ALL SELECT 'new', row_number() OVER (ORDER BY k DESC), 'B-' || k, total, 'seed' FROM k WHERE k % 3 = 0
+UNION ALL SELECT 'rejects before', count(*), NULL, NULL, NULL FROM k WHERE k % 5 = 0 UNION ALL SELECT 'rejects after', 0, NULL, NULL, NULL""")
+def q_replaced_ledger(spark, sf):
+    """A ledger that is replaced, rejects included; the version before it reads as it was."""
+    ledger = _fresh_ledger(spark)
+    drafts = _order_drafts(spark, sf, F.concat(F.lit("A-"), F.col("o_orderkey").cast("string"))).where("pos % 2 = 0")
+    refused = table(spark, sf, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").cast("string").alias("file"), F.lit("no rows").alias("reason"))
+    ledger.save(drafts, ["pos"], as_of=AS_OF, created_at=STAMP, rejects=refused)
+    old = Ledger(spark, ledger.path, version=ledger.current()[0])
+    others = _order_drafts(spark, sf, F.concat(F.lit("B-"), F.col("o_orderkey").cast("string"))).where("pos % 3 = 0").withColumn("_less", -F.col("pos"))
+    ledger.replace(to_ledger_rows(others, "seed", AS_OF, STAMP, keep=["_less"]), ["_less"])
+
+    def rows(book: Ledger, version: str) -> DataFrame:
+        return book.invoices().select(F.lit(version).alias("version"), "id", "invoice_number", money("total"), "source")
+
+    def refusals(book: Ledger, version: str) -> DataFrame:
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("invoice_number", "string"), ("total", "double"), ("source", "string"))]
+        return book.rejects().agg(F.count(F.lit(1)).alias("id")).select(F.lit(version).alias("version"), "id", *none)
+
+    return rows(old, "old").unionByName(rows(ledger, "new")).unionByName(refusals(old, "rejects before")).unionByName(refusals(ledger, "rejects after"))
+
+
+@query("""WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE o_orderkey % 4 = 0) AS fourth FROM orders)
+SELECT 1 AS step, n AS inserted, false AS skipped, 0 AS existing, n AS stored FROM n UNION ALL SELECT 2, 0, true, n, n FROM n UNION ALL SELECT 3, fourth, false, n, fourth FROM n""")
+def q_load_if_empty(spark, sf):
+    """Loaded into an empty ledger, left alone when it is not, and loaded again by force."""
+    ledger = _fresh_ledger(spark)
+    drafts = _order_drafts(spark, sf, F.concat(F.lit("A-"), F.col("o_orderkey").cast("string")))
+    rows = to_ledger_rows(drafts, "seed", AS_OF, STAMP, keep=["pos"])
+    steps = []
+    for step, (part, force) in enumerate(((rows, False), (rows, False), (rows.where("pos % 4 = 0"), True)), 1):
+        done = ledger.load_if_empty(part, ["pos"], force=force)
+        steps.append((step, done.inserted, done.skipped, done.existing, ledger.count()))
+    return spark.createDataFrame(steps, "step int, inserted long, skipped boolean, existing long, stored long")
+
+
+@query("""SELECT 'N-' || o_orderkey AS invoice_number, CASE WHEN o_orderkey % 2 = 0 THEN 'imported' ELSE 'uploaded' END AS source,
+true AS repeat_refused, true AS stored_refused, true AS late_refused FROM orders""")
+def q_strict_save(spark, sf):
+    """Strict saves: a repeated number, a stored one and a ledger that changed meanwhile are each refused, and none leaves a trace."""
+    ledger = _fresh_ledger(spark)
+    drafts = _order_drafts(spark, sf, F.concat(F.lit("N-"), F.col("o_orderkey").cast("string")))
+    even, odd = drafts.where("pos % 2 = 0"), drafts.where("pos % 2 = 1")
+    options = {"order": ["pos"], "as_of": AS_OF, "created_at": STAMP}
+
+    def refused(book: Ledger, batch: DataFrame, error: type[Exception]) -> bool:
+        try:
+            book.create(batch, **options)
+        except error:
+            return True
+        return False
+
+    repeat = refused(ledger, odd.unionByName(odd.withColumn("pos", -F.col("pos"))), DuplicateInvoice)
+    ledger.save(even, **options)
+    stored = refused(ledger, drafts, DuplicateInvoice)
+    ledger.create(odd, **options)
+    # A writer that still sees the first version is too late.
+    late = refused(Ledger(spark, ledger.path, version=1), odd, ConcurrentSave)
+    flags = [F.lit(v).alias(n) for n, v in (("repeat_refused", repeat), ("stored_refused", stored), ("late_refused", late))]
+    return ledger.invoices().select("invoice_number", "source", *flags)
+
+
+@query("""SELECT 'ORD-' || o_orderkey AS invoice_number, c_name AS vendor_name, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS invoice_date,
+CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DOUBLE) AS total, 'USD' AS currency, NULL AS reason FROM orders JOIN customer ON o_custkey = c_custkey
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 'Unsupported file type'""")
+def q_landing(spark, sf):
+    """Orders land as files of two layouts and are saved by two triggers, the second of which is run again as after a crash."""
+    base = f"{ensure_checkpoint_dir(spark)}/landing-{uuid.uuid4().hex}"
+    orders = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    number = F.concat(F.lit("ORD-"), F.col("o_orderkey").cast("string"))
+    values = (number, F.col("c_name"), F.col("o_orderdate").cast("date").cast("string"), F.col("o_totalprice").cast(CENTS).cast("string"))
+    ledger = Ledger(spark, f"{base}/ledger")
+
+    def trigger() -> None:
+        ingest_landing(spark, f"{base}/in/*", ledger, f"{base}/stream", AS_OF, STAMP).awaitTermination()
+
+    names = ("Invoice No", "Supplier", "Bill Date", "Amount Due")
+    orders.where("o_orderkey % 2 = 0").select(*[v.alias(n) for v, n in zip(values, names)]).write.option("header", True).csv(f"{base}/in/first")
+    orders.agg(F.count(F.lit(1)).cast("string").alias("value")).coalesce(1).write.text(f"{base}/in/notes")
+    trigger()
+    names = ("Ref", "Company", "Date", "Total")
+    odd = orders.where("o_orderkey % 2 = 1").select(*[v.alias(n) for v, n in zip(values, names)])
+    odd.write.option("header", True).option("sep", ";").csv(f"{base}/in/second")
+    trigger()
+    # The batch is saved but not noted as done: the next run repeats it.
+    noted = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/stream/commits/1")
+    noted.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(noted, False)
+    trigger()
+    rows = ledger.invoices().select("invoice_number", "vendor_name", F.col("invoice_date").cast("string").alias("invoice_date"), money("total"), "currency", F.lit(None).cast("string").alias("reason"))
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields[:-1]]
+    return rows.unionByName(ledger.rejects().select(*none, F.regexp_extract("reason", "^Unsupported file type", 0).alias("reason")))
+
+
 @query(f"""WITH {INV} SELECT 0 AS position, 'id' AS column_name, 'bigint' AS data_type, count(*) AS n FROM inv
 UNION ALL SELECT 1, 'vendor_name', 'string', count(vendor_name) FROM inv UNION ALL SELECT 2, 'invoice_date', 'date', count(*) FROM inv""")
 def q_describe(spark, sf):
@@ -562,7 +675,7 @@ def staged_orders(spark: SparkSession, sf: str) -> Staged:
 number, CASE layout WHEN 0 THEN strftime(day, '%d/%m/%Y') WHEN 3 THEN strftime(day, '%m/%d/%Y') ELSE CAST(day AS VARCHAR) END AS day_text,
 CASE layout WHEN 2 THEN email END AS email FROM ord""")
 def q_staged_files(spark, sf):
-    staged = decode_exports(rendered_files(spark, sf))
+    staged = stage_files(rendered_files(spark, sf))
     cell = F.col("cells")
 
     def first(*names: str) -> Column:
@@ -604,7 +717,7 @@ pairs AS (SELECT header, target, CASE
 best AS (SELECT header, target, max(score) AS score FROM pairs GROUP BY ALL HAVING max(score) > 0)
 SELECT file, target, heads.header AS header, CAST(score AS INTEGER) AS score FROM heads JOIN best ON heads.header = best.header""")
 def q_header_scores(spark, sf):
-    staged = decode_exports(rendered_files(spark, sf))
+    staged = stage_files(rendered_files(spark, sf))
     return M.header_scores(staged.headers).select("file", "target", "header", "score")
 
 

@@ -46,6 +46,18 @@ def number_rows(
     )
 
 
+def running_sum(
+    df: DataFrame, group: Sequence[str], split: Sequence[str], order: Sequence[str], value: str, out: str
+) -> DataFrame:
+    """Sum of `value` over the rows of a group up to each row in (split, order) order, slice by slice like number_rows."""
+    keys = [*group, *split]
+    sums = df.groupBy(*keys).agg(F.sum(value).alias("_slice_sum"))
+    earlier = Window.partitionBy(*group).orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, F.coalesce(F.sum("_slice_sum").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.join(offsets, keys).withColumn(out, F.col("_before") + F.sum(value).over(within)).drop("_before")
+
+
 #: Tables of one row per file are broadcast up to this size.
 BROADCAST_BYTES = 32 * 1024 * 1024
 

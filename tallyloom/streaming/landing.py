@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyloom.plans.imports import long_lines, preview_files
+from tallyloom.plans.imports import long_lines, preview_staged
 from tallyloom.sources.ledger import Ledger
+from tallyloom.sources.staging import from_files
 
 
 def ingest_landing(
@@ -22,15 +25,20 @@ def ingest_landing(
 ) -> StreamingQuery:
     """Start a run over everything that has arrived and stop when it is saved.
 
-    Files that give no rows are kept with their reasons in the ledger's rejects.
+    The stream carries names only, at most `files_per_trigger` of them a batch; their contents are staged by Spark's readers, whatever the
+    size of a file. Files that give no rows are kept with their reasons in the ledger's rejects.
 
-    The stream checkpoint remembers which files are done. A batch that is tried again after a failure
-    adds nothing twice: its numbers are skipped as already stored, and its line folder is replaced.
+    The stream checkpoint remembers which files are done. Drafts, lines and rejects of a batch are seen together or not at all, and a
+    batch that is tried again after it was saved adds nothing twice.
     """
 
+    stream = zlib.crc32(checkpoint.encode())  # batches of another stream have other names
+
     def save(files: DataFrame, batch_id: int) -> None:
-        preview = preview_files(files, as_of=as_of)
-        ledger.keep_rejects(preview.rejects, f"stream-{batch_id}")
+        names = [re.sub(r"([\\*?\[\]{}])", r"\\\1", r.path) for r in files.select("path").collect()]
+        if not names:
+            return
+        preview = preview_staged(from_files(spark, names), as_of=as_of)
         nested = preview.drafts.nested()
         ledger.save(
             nested,
@@ -38,7 +46,8 @@ def ingest_landing(
             as_of=as_of,
             created_at=created_at,
             long_lines=long_lines(preview, nested),
-            batch_id=f"stream-{batch_id}",
+            rejects=preview.rejects,
+            batch_id=f"stream-{stream:08x}-{batch_id}",
         )
 
     arrivals = (
@@ -46,7 +55,7 @@ def ingest_landing(
         .schema("path string, modificationTime timestamp, length long, content binary")
         .option("maxFilesPerTrigger", files_per_trigger)
         .load(landing)
-        .select("path", "content")
+        .select("path")
     )
     return (
         arrivals.writeStream.foreachBatch(save)

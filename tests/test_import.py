@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import convert as C
 from tallyloom.operators import mapping as M
-from tallyloom.sources.staging import Staged, decode_exports, from_dataframe, from_files
+from tallyloom.sources.staging import Staged, from_dataframe, from_files, json_leaves, stage_files
 
 
 def staged_files(spark, files) -> Staged:
     rows = [(name, bytearray(text if isinstance(text, bytes) else text.encode())) for name, text in files.items()]
-    return decode_exports(spark.createDataFrame(rows, "path string, content binary"))
+    return stage_files(spark.createDataFrame(rows, "path string, content binary"))
 
 
 @pytest.fixture(scope="module")
@@ -43,10 +43,11 @@ def imported(spark):
     }
 
 
-def _by_file(rows):
+def _by_file(rows, after=None):
+    """Rows by file, or by what follows the last `after` in it."""
     out = {}
     for row in rows:
-        out.setdefault(row.file, []).append(row)
+        out.setdefault(row.file.rsplit(after, 1)[-1] if after else row.file, []).append(row)
     return out
 
 
@@ -235,7 +236,6 @@ def test_file_reading_rules(spark):
         "nothing.csv": "",
         "many.csv": "a,b\n" + "\n".join(f"{i},b" for i in range(2100)) + "\n",
         "quoted.csv": 'a,b\n"x, ""y""\nz",5" pipe\n',
-        "half.json": '[{"a": "\\ud800"}]',
         "deep.json": "[" * 100_000,
         "latin.csv": b"a,b\n\xff\xfe,2\n",
         "prog.exe": "MZ",
@@ -256,34 +256,72 @@ def test_file_reading_rules(spark):
     assert "no data rows" in rejects["headers.csv"] and "no rows" in rejects["nothing.csv"]
     assert len(cells["many.csv"]) == 2100 and "not valid UTF-8" in rejects["latin.csv"]
     assert cells["quoted.csv"] == [{"a": 'x, "y"\nz', "b": '5" pipe'}]
-    assert "half a character" in rejects["half.json"] and "nested too deeply" in rejects["deep.json"]
+    assert "not valid JSON" in rejects["deep.json"]
     assert "Unsupported file type" in rejects["prog.exe"]
     assert not set(rejects) & set(heads) and set(rejects) | set(heads) == set(files)
     frame = spark.createDataFrame([("many.csv", bytearray(files["many.csv"].encode()))], "path string, content binary")
-    assert "more than 2000 rows" in decode_exports(frame, max_rows=2000).rejects.first().reason
-    assert "the limit is 100 bytes" in decode_exports(frame, max_bytes=100).rejects.first().reason
+    assert "more than 2000 rows" in stage_files(frame, max_rows=2000).rejects.first().reason
+    assert "the limit is 100 bytes" in stage_files(frame, max_bytes=100).rejects.first().reason
 
 
 def test_folders_of_files_of_any_size(spark, tmp_path):
     body = "Invoice,Vendor,Total\n,Acme,{0}\n,Acme,{0}\n"
     for month in ("01", "02"):
         (tmp_path / month).mkdir()
-        (tmp_path / month / "export.csv").write_text(body.format(month))
+        (tmp_path / month / "export 1.csv").write_text(body.format(month))
     (tmp_path / "01" / "large.csv").write_text("total;note.a\n" + "".join(f'{i};"n;{i}"\n' for i in range(5000)))
     (tmp_path / "02" / "scan.pdf").write_bytes(b"%PDF")
+    (tmp_path / "02" / "none.csv").write_bytes(b"")
     (tmp_path / "02" / "large.json").write_text("[" + ",".join('{"a": 1}' for _ in range(5000)) + "]")
-    staged = from_files(spark, f"{tmp_path}/*", whole_bytes=20_000)
+    staged = from_files(spark, f"{tmp_path}/*")
     counts = {r.file.rsplit("/", 2)[-2] + "/" + r.file.rsplit("/", 1)[-1]: r["count"] for r in staged.cells.groupBy("file").count().collect()}
-    assert counts == {"01/export.csv": 2, "02/export.csv": 2, "01/large.csv": 5000}
-    last = staged.cells.where("row_no = 5001").first().cells
+    assert counts == {"01/export%201.csv": 2, "02/export%201.csv": 2, "01/large.csv": 5000, "02/large.json": 5000}
+    last = staged.cells.where("row_no = 5001 and file like '%csv'").first().cells
     assert last == {"total": "4999", "note.a": "n;4999"}
     reasons = {r.file.rsplit("/", 1)[-1]: r.reason for r in staged.rejects.collect()}
-    assert set(reasons) == {"scan.pdf", "large.json"} and "Unsupported" in reasons["scan.pdf"]
+    assert set(reasons) == {"scan.pdf", "none.csv"} and "Unsupported" in reasons["scan.pdf"] and "no rows" in reasons["none.csv"]
     drafts = C.convert_cells(staged.cells, M.heuristic_mapping(staged.cells, staged.headers), AS_OF).nested()
-    numbers = [r.invoice_number for r in drafts.where("file like '%export.csv'").collect()]
+    numbers = [r.invoice_number for r in drafts.where("file like '%export%'").collect()]
     assert len(set(numbers)) == len(numbers) == 4
 
 
+def test_split_files_stage_like_whole_ones(spark, tmp_path):
+    """Cells with line breaks, quoted delimiters and stray quotes, read in pieces of four kilobytes and as one row."""
+    head = 'no,"note, or\nnot",size\n'
+    rows = [f'{i},"line one, {i}\n\nsays ""{i}"", twice\r\n",{"5" + chr(34) if i % 7 else ""}\n' for i in range(900)]
+    texts = {"broken.csv": head + "".join(rows), "plain.csv": "a;b\n" + "".join(f"{i};x,y,z\n" for i in range(3000))}
+    texts["open.csv"] = "a,b\n1,2\n3,\"never closed\n4,5\n"
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    (tmp_path / "latin.csv").write_bytes(b"a,b\n" + b"1,2\n" * 3000 + b"\xff\xfe,2\n")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in kept:
+            spark.conf.set(k, "4096")
+        assert spark.read.text(f"{tmp_path}/broken.csv").rdd.getNumPartitions() > 5
+        split = from_files(spark, str(tmp_path))
+        read = {k: [(r.row_no, r.cells) for r in v] for k, v in _by_file(split.cells.orderBy("file", "row_no").collect(), "/").items()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    whole = staged_files(spark, texts)
+    assert read == {k: [(r.row_no, r.cells) for r in v] for k, v in _by_file(whole.cells.orderBy("file", "row_no").collect()).items()}
+    assert len(read["broken.csv"]) == 900 and len(read["plain.csv"]) == 3000
+    assert read["broken.csv"][8] == (10, {"no": "8", "note, or\nnot": 'line one, 8\n\nsays "8", twice', "size": '5"'})
+    assert [r.reason for r in split.rejects.collect()] == ["latin.csv is not valid UTF-8 text."]
+
+
+def test_json_leaves_keep_names_in_order(spark):
+    text = '{"z": {"y": {"b": 1.50, "a": [1, {"k": "v"}]}, "x": null}, "c": " t ", "e": {}, "d": 1e3, "n": 12345678901234567890, "t": true, "z.w": "{no}"}'
+    found = spark.createDataFrame([(text,)], "t string").select(json_leaves(F.col("t")).alias("l")).first().l
+    assert [(x.name, x.cell) for x in found] == [
+        ("z.y.b", "1.5"), ("z.y.a", '[1,{"k":"v"}]'), ("z.x", ""), ("c", "t"), ("d", "1000"), ("n", "12345678901234567890"), ("t", "true"), ("z.w", "{no}"),
+    ]
+    deep = '{"a":' * 40 + "1" + "}" * 40
+    found = spark.createDataFrame([(deep,)], "t string").select(json_leaves(F.col("t")).alias("l")).first().l
+    assert [(x.name, x.cell) for x in found] == [(".".join("a" * 40), "1")]
+
+
 def test_large_frames_stage_the_same_shape(spark):
     df = spark.createDataFrame(
         [(5, "A-1", 10.0, date(2026, 1, 5), ("x", 2.5), None), (9, " ", None, None, (None, None), None), (7, "A-2", 0.25, None, ("y", 1e16), [1])],

@@ -20,7 +20,7 @@ from tallyloom.plans import adhoc
 from tallyloom.plans import query as Q
 from tallyloom.schema import INVOICE, INVOICE_DRAFT
 from tallyloom.sources.intake import classify, parse_records, text_gate
-from tallyloom.sources.ledger import DuplicateInvoice, Ledger, to_ledger_rows
+from tallyloom.sources.ledger import ConcurrentSave, DuplicateInvoice, Ledger, to_ledger_rows
 from tallyloom.sources.samples import sample_documents
 from tallyloom.streaming.landing import ingest_landing
 
@@ -374,7 +374,73 @@ def test_long_drafts_of_one_number_keep_their_own_lines(spark, tmp_path):
 
 
 def test_a_broken_ledger_is_not_an_empty_one(spark, tmp_path):
-    (tmp_path / "invoices").mkdir()
-    (tmp_path / "invoices" / "part-0.parquet").write_text("no parquet")
+    (tmp_path / "data" / "x" / "invoices").mkdir(parents=True)
+    (tmp_path / "data" / "x" / "invoices" / "part-0.parquet").write_text("no parquet")
+    (tmp_path / "manifest").mkdir()
+    (tmp_path / "manifest" / f"{1:012d}").write_text("x")
     with pytest.raises(Exception, match="(?i)parquet"):
         Ledger(spark, str(tmp_path)).count()
+
+
+def numbered(spark, *numbers):
+    return frame(spark, *[draft(invoice_number=n) for n in numbers]).withColumn("pos", F.monotonically_increasing_id())
+
+
+def stored(ledger):
+    return [(r.id, r.invoice_number) for r in ledger.invoices().orderBy("id").collect()]
+
+
+def test_a_failure_between_steps_leaves_the_old_ledger_whole(spark, tmp_path, monkeypatch):
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    rejects = spark.createDataFrame([("a.csv", "no rows")], "file string, reason string")
+    ledger.save(numbered(spark, "A-1", "A-2"), ["pos"], as_of=AS_OF, created_at=NOW, rejects=rejects)
+    before = stored(ledger)
+    rows = to_ledger_rows(numbered(spark, "B-1"), "seed", AS_OF, NOW, keep=["pos"])
+
+    def crash(*_):
+        raise OSError("gone")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(Ledger, "_commit", crash)
+        for attempt in (
+            lambda: ledger.replace(rows, ["pos"]),
+            lambda: ledger.save(numbered(spark, "C-1"), ["pos"], as_of=AS_OF, created_at=NOW, rejects=rejects),
+            lambda: ledger.load_if_empty(rows, ["pos"], force=True),
+        ):
+            with pytest.raises(OSError):
+                attempt()
+            assert stored(ledger) == before and ledger.rejects().count() == 1
+    ledger.replace(rows, ["pos"])
+    assert stored(ledger) == [(1, "B-1")] and ledger.rejects().count() == 0
+    # What crashed saves left, and what was replaced, goes when asked.
+    assert stored(Ledger(spark, ledger.path, version=1)) == before
+    assert len(ledger.vacuum()) == 4 and stored(ledger) == [(1, "B-1")] and ledger.versions() == [2]
+
+
+def test_of_two_writers_one_is_refused(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "ledger")
+    options = {"order": ["pos"], "as_of": AS_OF, "created_at": NOW}
+    first, second = Ledger(spark, path), Ledger(spark, path)
+    write = Ledger._write_rows
+
+    def slow(self, *args):
+        write(self, *args)
+        if self is first:  # the other writer is quicker
+            second.save(numbered(spark, "B-1"), **options)
+
+    monkeypatch.setattr(Ledger, "_write_rows", slow)
+    with pytest.raises(ConcurrentSave, match="version 1"):
+        first.save(numbered(spark, "A-1", "B-1"), **options)
+    assert stored(first) == [(1, "B-1")]
+    monkeypatch.undo()
+    report = first.save(numbered(spark, "A-1", "B-1"), **options)
+    assert [r.invoice_number for r in report.created.collect()] == ["A-1"]
+    assert stored(second) == [(1, "B-1"), (2, "A-1")]
+
+
+def test_a_batch_that_is_saved_again_adds_nothing(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    rejects = spark.createDataFrame([("a.csv", "no rows")], "file string, reason string")
+    for _ in range(2):
+        ledger.save(numbered(spark, "A-1"), ["pos"], as_of=AS_OF, created_at=NOW, rejects=rejects, batch_id="b-7")
+    assert stored(ledger) == [(1, "A-1")] and ledger.rejects().count() == 1
