@@ -8,8 +8,9 @@ sampled positions, but for `w` bytes at either end, and at least `phrases + 1` o
 
 Doubling. Between neighbouring positions lies a phrase; its hash is the first rank of the position it starts
 at. Each round pairs a position's rank with the rank at a growing offset (1, 2, 4, ... phrases on), lets Spark
-shuffle and sort the pairs, gives equal pairs one new rank, and drops positions whose pair occurs once. The
-rounds end when the ranks cover all the phrases that a repeated string must hold.
+bring equal pairs together, gives them one new rank, and drops positions whose pair occurs once. A rank is a 64-bit hash of
+its pair and not a place in the sorted order, which nothing here needs: ranks are only compared for equality, and what
+they let through is compared by its bytes. The rounds end when the ranks cover all the phrases that a repeated string must hold.
 
 Bytes. A string that starts at p is judged at the first sampled position at p + w - 1 or later. All strings
 judged at one position share its core bytes; each is its core with some bytes to the left and the rest to the
@@ -162,10 +163,20 @@ def with_phrases(docs: DataFrame, s: Sampling) -> DataFrame:
 
 
 def _repeated(ranked: DataFrame) -> DataFrame:
-    """Positions whose rank occurs at two places or more."""
-    place = F.xxhash64("id", "idx")
-    same = Window.partitionBy("rank")
-    return ranked.withColumn("repeats", F.min(place).over(same) != F.max(place).over(same)).where("repeats").drop("repeats")
+    """Positions whose rank occurs at two places or more; places are told apart on the map side."""
+    place = F.struct("id", "idx")
+    several = ranked.groupBy("rank").agg((F.min(place) != F.max(place)).alias("repeats")).where("repeats").select("rank")
+    return ranked.join(several, "rank", "left_semi")
+
+
+def across_texts(ranked: DataFrame, phrases: int, longer: int) -> DataFrame:
+    """(id, idx) of the positions from which `longer` phrases repeat in another text, from the ranks that cover `phrases`."""
+    ahead = Window.partitionBy("id").orderBy("idx")
+    offset = longer - phrases
+    paired = ranked.withColumns({"next": F.lead("rank", offset).over(ahead), "next_idx": F.lead("idx", offset).over(ahead)})
+    paired = paired.where(F.col("next_idx") == F.col("idx") + offset).select("id", "idx", F.xxhash64("rank", "next").alias("rank"))
+    shared = paired.groupBy("rank").agg((F.min("id") != F.max("id")).alias("across")).where("across").select("rank")
+    return paired.join(shared, "rank", "left_semi").select("id", "idx")
 
 
 def repeated_positions(hashed: DataFrame, phrases: int) -> DataFrame:
@@ -297,6 +308,24 @@ def _masks(edges: DataFrame, w: int) -> tuple[DataFrame, list[DataFrame]]:
     return masks, [edges, classes]
 
 
+def _shared_bytes(texts: DataFrame, s: Sampling, phrases: int) -> DataFrame:
+    """(th, n_shared) of texts with `shared`: bytes from a sampled position in it to the one `phrases` further on."""
+
+    def run(batch):
+        rows = []
+        for th, text, shared in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist()):
+            _, _, places, _ = _positions([text], s)
+            turn = np.zeros(len(text) + 1, np.int32)
+            start = np.array([i for i in set(shared) if i + phrases < len(places)], np.int64)
+            np.add.at(turn, places[start], 1)
+            np.add.at(turn, places[start + phrases], -1)
+            rows.append((th, int((np.cumsum(turn) > 0).sum())))
+        th, n = zip(*rows)
+        yield pa.record_batch([pa.array(th, pa.binary()), pa.array(n, pa.int64())], ["th", "n_shared"])
+
+    return map_batches(texts.select("th", "text", "shared"), run, "th binary, n_shared long")
+
+
 def _cut(texts: DataFrame, s: Sampling) -> DataFrame:
     """(th, n_removed, n_spans, kept_sha256, spans) of texts with their masks."""
     w, bits = s.w, np.arange(s.w, dtype=np.uint64)
@@ -329,30 +358,38 @@ def _cut(texts: DataFrame, s: Sampling) -> DataFrame:
     )
 
 
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row.
+def remove_repeats(docs: DataFrame, length: int = 400, report: int = 6) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, n_shared) of every row.
 
-    `spans` holds the removed runs as start, end, start, end, ... in bytes of the text.
+    `spans` holds the removed runs as start, end, start, end, ... in bytes of the text. `n_shared` is only told and removes nothing: bytes in
+    runs of `report` phrases that stand in another text too (in all of a text that has copies). A phrase reaches from one
+    sampled position to the next, some 32 bytes at the default length, so these are passages that may be shorter than `length`.
     """
     s = Sampling(length)
     phrased = settle(with_phrases(docs, s), "suffix-phrases")
     hashed = settle(phrased.drop("phrases"), "suffix-texts")
     positions = repeated_positions(phrased, s.phrases)
     discard(phrased)
+    longer = s.phrases + min(max(report - s.phrases, 0), s.phrases)
+    shared = settle(across_texts(positions, s.phrases, longer), "suffix-shared")
     wanted = settle(_wanted(hashed, positions), "suffix-wanted")
     bloom = bloom_of(wanted, "key")
-    by_text = positions.groupBy("id").agg(F.collect_list("idx").alias("idxs"))
+    told = positions.select("id", "idx", F.lit(False).alias("told")).unionByName(shared.select("id", "idx", F.lit(True).alias("told")))
+    by_text = told.groupBy("id").agg(
+        F.collect_list(F.when(~F.col("told"), F.col("idx"))).alias("idxs"), F.collect_list(F.when(F.col("told"), F.col("idx"))).alias("shared")
+    )
     texts = _texts_with(docs, wanted, bloom).join(by_text, "id")
-    texts = settle(texts.select(F.monotonically_increasing_id().alias("tid"), "th", "idxs", "text"), "suffix-wanted-texts")
-    discard(positions, wanted)
+    texts = settle(texts.select(F.monotonically_increasing_id().alias("tid"), "th", "idxs", "shared", "text"), "suffix-wanted-texts")
+    discard(positions, wanted, shared)
     masks, below = _masks(_edges_of(texts, s), s.w)
     hits = masks.groupBy("tid").agg(F.collect_list(F.struct("at", "mask")).alias("hits"))
     cut = _cut(texts.join(hits, "tid"), s)
     # Texts that passed the filter by chance, or rows repeated with their id, give one line each.
     cut = settle(cut.dropDuplicates(["th"]), "suffix-cut")
+    of_text = settle(_shared_bytes(texts.where("size(shared) > 0"), s, longer).dropDuplicates(["th"]), "suffix-told")
     discard(texts, *below)
     copies = hashed.groupBy("th").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    out = hashed.drop("id").join(cut, "th", "left").join(copies, "th", "left")
+    out = hashed.drop("id").join(cut, "th", "left").join(copies, "th", "left").join(of_text, "th", "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     return out.select(
@@ -364,4 +401,5 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
         F.when(whole, F.array(F.lit(0).cast("long"), "n_bytes"))
         .otherwise(F.coalesce("spans", F.array().cast("array<long>")))
         .alias("spans"),
+        F.when(F.col("copies") > 1, F.col("n_bytes")).otherwise(F.coalesce("n_shared", F.lit(0))).cast("long").alias("n_shared"),
     )
