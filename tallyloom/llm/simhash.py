@@ -1,11 +1,11 @@
-"""SimHash fingerprints and their links by a one-bit neighbourhood index.
+"""SimHash fingerprints and their links by multi-index hashing.
 
-Links join fingerprints that differ in at most two bits. Each fingerprint is cut into segments; in every
-segment the ball of radius one is enumerated and looked up together with the other segments unchanged.
-Two fingerprints within two bits always meet at such a key: either one lies in the other's ball, or each
-flips one of the two differing bits. Conversely two that meet differ in two bits at most, so a table
-entry can hold 65 fingerprints at the very most, whatever the data, and no bucket ever needs a cap. (Looking
-up a segment's value alone would put all fingerprints that share it into one bucket, without bound.)
+Links join fingerprints that differ in at most two bits. Each fingerprint is cut into two segments of 32 bits, and each
+segment has a table of the fingerprints by its value. Of two fingerprints within two bits one segment differs in one bit at
+most, so every fingerprint looks up its own segment values and those one bit away, and whole distances are compared.
+A value that many fingerprints share would give all of their pairs. Its fingerprints are looked up a second time by the
+value and the rest of the bits together: such an entry holds 65 fingerprints at most, tied to their smallest.
+No entry has a cap and no pair is lost.
 
 Null and empty texts have fingerprint zero, which is linked like any other. Repeated rows stay separate rows
 of one component. Other columns are ignored. Empty tables give empty results.
@@ -19,10 +19,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import components, map_batches, settle, texts_of
+from tallyloom.llm.common import broadcast_if_small, components, map_batches, settle, texts_of
 
 SEED = 42
 _BLOCK = 1 << 14
+#: Segments of a fingerprint and their bits.
+SEGMENTS = 2
+_WIDTH = 64 // SEGMENTS
+#: A segment value of more fingerprints is looked up with the rest of the bits; so many such values are broadcast at most.
+HOT, HOT_ROWS = 32, 200_000
 
 
 def fingerprint(raw: bytes, shingle: int = 3) -> int:
@@ -59,29 +64,66 @@ def with_fingerprints(docs: DataFrame, shingle: int = 3, row: str | None = None)
     return map_batches(columns, run, "row long, doc_id long, fp long")
 
 
-def ball_keys(fp: str, segments: int = 2) -> Column:
-    """The fingerprint and, segment by segment, what flipping one bit of that segment gives."""
-    width = 64 // segments
-    balls = [f"transform(sequence({i * width}, {(i + 1) * width - 1}), b -> {fp} ^ shiftleft(1L, b))" for i in range(segments)]
-    return F.expr(f"concat(array({fp}), {', '.join(balls)})")
+def _segment(fp: str, number: str) -> Column:
+    """A segment's number and value in one long."""
+    return F.expr(f"shiftright({fp}, {number} * {_WIDTH}) & {(1 << _WIDTH) - 1}L | shiftleft(CAST({number} AS long), {_WIDTH})")
 
 
-def links(fingerprints: DataFrame, max_distance: int = 2) -> DataFrame:
-    """(a, b): fingerprints of a table entry tied to the entry's smallest, after checking the whole distance.
+def _own_keys(fingerprints: DataFrame) -> DataFrame:
+    """(fp, number, key): the segment tables, a row for each segment of each fingerprint."""
+    cut = fingerprints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("number"))
+    return cut.select("fp", "number", _segment("fp", "number").alias("key"))
 
-    `fingerprints` has one row per value. The links of an entry connect all fingerprints in it, so the
-    components are those of all pairs within `max_distance`, which are never written out.
+
+def _ball_keys(fingerprints: DataFrame) -> DataFrame:
+    """(fp, number, key, place): what clearing one set bit of a segment makes of the segment and of the whole fingerprint.
+
+    Of two segments one bit apart just one has that bit set, so half of the ball finds every pair once.
+    """
+    bits = fingerprints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).where("shiftright(fp, bit) & 1 = 1")
+    cleared = bits.select("fp", F.expr(f"bit div {_WIDTH}").cast("int").alias("number"), F.expr("fp ^ shiftleft(1L, bit)").alias("place"))
+    return cleared.select("fp", "number", _segment("place", "number").alias("key"), "place")
+
+
+def links(fingerprints: DataFrame, max_distance: int = 2, hot: int = HOT) -> DataFrame:
+    """(a, b): pairs of fingerprints within `max_distance` bits that connect whatever such pairs connect.
+
+    `fingerprints` has one row per value. Pairs that meet at values of at most `hot` fingerprints are all written; the
+    entries of a hot value are tied to their smallest member. For `max_distance` 1 all pairs are written.
     """
     if max_distance not in (1, 2):
         raise ValueError("max_distance must be 1 or 2")
-    keys = fingerprints.select("fp", F.explode(ball_keys("fp")).alias("key"))
-    entry = Window.partitionBy("key")
-    tied = keys.withColumn("least", F.min("fp").over(entry)).where("fp <> least")
+    own = _own_keys(fingerprints)
+    crowded = settle(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key"), "simhash-hot")
+    crowded = broadcast_if_small(crowded, HOT_ROWS)
+    looked_up = own.select("fp", "key")
+    if max_distance >= SEGMENTS:
+        looked_up = looked_up.unionByName(_ball_keys(fingerprints).select("fp", "key"))
+    stored = own.join(crowded, "key", "left_anti").select("key", F.col("fp").alias("b"))
+    met = looked_up.withColumnRenamed("fp", "a").join(stored, "key").where(f"a <> b and bit_count(a ^ b) <= {max_distance}")
+    ends = (F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return met.select(*ends).unionByName(_hot_links(fingerprints, own, crowded, max_distance).select(*ends)).distinct()
+
+
+def _hot_links(fingerprints: DataFrame, own: DataFrame, crowded: DataFrame, max_distance: int) -> DataFrame:
+    """(a, b): links of the fingerprints that meet at a hot segment value, by a second look-up in the rest of the fingerprint.
+
+    An entry is a hot value with one value of the other bits. Its members hold the value and differ from the rest in one
+    bit at most, or hold exactly the rest and differ from the value in one bit: 65 at the very most.
+    """
+    held = own.join(crowded, "key", "left_semi")
+    others = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")
+    turned = held.select("fp", "number", others).where(f"bit div {_WIDTH} <> number")
+    turned = turned.select("fp", "number", F.expr("fp ^ shiftleft(1L, bit)").alias("place"))
+    exact = held.select("fp", "number", F.col("fp").alias("place"))
     if max_distance == 1:
-        # Only an entry's own fingerprint lies within one bit of all others in it.
-        own = keys.withColumn("own", F.max(F.col("fp") == F.col("key")).over(entry)).where("own and fp <> key")
-        return own.select(F.col("fp").alias("a"), F.col("key").alias("b"))
-    return tied.where(f"bit_count(fp ^ least) <= {max_distance}").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
+        found = turned.withColumnRenamed("fp", "a").join(exact.withColumnRenamed("fp", "b"), ["number", "place"])
+        return found.where("bit_count(a ^ b) <= 1").select("a", "b")
+    beside = _ball_keys(fingerprints).join(crowded, "key", "left_semi").select("fp", "number", "place", F.lit(False).alias("holds"))
+    members = turned.unionByName(exact).withColumn("holds", F.lit(True)).unionByName(beside)
+    least = F.min(F.when(F.col("holds"), F.col("fp"))).over(Window.partitionBy("number", "place"))
+    tied = members.withColumn("least", least).where(f"fp <> least and bit_count(fp ^ least) <= {max_distance}")
+    return tied.select(F.col("fp").alias("a"), F.col("least").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2, row: str | None = None) -> DataFrame:
