@@ -4,8 +4,9 @@ Windows are runs of consecutive words over the whole text, whatever its line bre
 is found in a text if one of its windows of n / `share` words holds at least `share` of the template's distinct words.
 Words are ordered by how many texts hold them, rarest first, counted over the whole corpus. A window that holds enough of
 a template must hold one of its first len - need + 1 words (prefix filter), so only windows around these words are looked
-at; the words on both sides of one must hold enough of the template (length filter) before its windows are compared one
-by one. So no window is missed and none is wrongly found. Overlapping windows that hold a template are one match.
+at. Each is looked at from the rarest word that it shares with the template: only words that come no earlier in the order
+can add to the overlap, and the words on both sides must hold enough of these (positional filter), within the
+template's width (length filter), before windows are compared one by one. So no window is missed and none is wrongly found. Overlapping windows that hold a template are one match.
 
 The templates are a fixed list, so their words, the word order and the templates' rows are bounded and small. Texts
 are read twice (order, then join) and never shuffled; only the few words around a prefix word leave their row.
@@ -63,22 +64,22 @@ def token_order(docs: DataFrame, templates: dict[str, str]) -> list[str]:
 
 
 def prefixes(templates: dict[str, str], order: list[str], share: float) -> list[tuple]:
-    """(label, word, width, size, need, all words) for the prefix words of each template."""
+    """(label, word, width, size, need, words from this one on in the order) for the prefix words of each template."""
     out = []
     for label, text in templates.items():
         own = sorted(set(text.split()), key=order.index)
         need = math.ceil(round(share * len(own), 9))
         width = math.floor(round(len(text.split()) / share, 9))
-        out += [(label, w, width, len(own), need, own) for w in own[: len(own) - need + 1]]
+        out += [(label, w, width, len(own), need, own[i:]) for i, w in enumerate(own[: len(own) - need + 1])]
     return out
 
 
 def _prefix_table(docs: DataFrame, rows: list[tuple]) -> DataFrame:
     quote = lambda w: "'" + w + "'"  # noqa: E731  words are ASCII letters and digits
     values = ", ".join(
-        f"({quote(a)}, {quote(w)}, {width}, {n}, {need}, array({', '.join(map(quote, own))}))" for a, w, width, n, need, own in rows
+        f"({quote(a)}, {quote(w)}, {width}, {n}, {need}, array({', '.join(map(quote, tail))}))" for a, w, width, n, need, tail in rows
     )
-    return docs.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(label, word, t_width, t_size, need, t_words)")
+    return docs.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(label, word, t_width, t_size, need, t_tail)")
 
 
 def _phrase_places(words: str, phrase: str) -> str:
@@ -91,25 +92,31 @@ def find_licenses(
 ) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches) of every row.
 
-    `matches` lists the templates found, with the best share of a window and the first prefix word (0 is the text's first)
-    that a window holding the template has.
+    `matches` lists the templates found, with the best share of a window and the first place (0 is the text's first word) of
+    the rarest template word of a window holding the template.
     """
     templates, phrases = templates or TEMPLATES, phrases or PHRASES
     order = token_order(docs, templates)
     rows = prefixes(templates, order, share)
     marks = sorted({w for _, w, *_ in rows})
     vocabulary = F.array(*map(F.lit, order))
+    # For a prefix word: its place in the order and the least overlap that any of its templates needs.
+    ranks = {w: order.index(w) + 1 for w in marks}
+    needs = {w: min(r[4] for r in rows if r[1] == w) for w in marks}
+    bounds = F.create_map(*[x for w in marks for x in (F.lit(w), F.struct(F.lit(ranks[w]).alias("rank"), F.lit(needs[w]).alias("need")))])
 
     spoken = "|".join(f"[{BREAKS}]+".join(p.split()) for p in phrases.values())
     words = F.when(F.col("text").rlike(f"(?i)(?:{spoken})"), words_of(F.col("text")))
     # A mark is a whole word; case is that of ASCII, as in words_of.
     marked = f"(?i)(?:^|[{BREAKS}])(?:{'|'.join(marks)})(?:[{BREAKS}]|$)"
-    side, least = max(r[2] for r in rows) - 1, min(r[4] for r in rows)
+    side = max(r[2] for r in rows) - 1
 
     def spot(word: Column, i: Column) -> Column:
         start = F.greatest(i - side, F.lit(0))
         around = F.slice("_all", start + 1, i - start + 1 + side)
-        enough = F.size(F.array_intersect(vocabulary, around)) >= least
+        bound = F.element_at(bounds, word)
+        later = F.slice(vocabulary, bound["rank"], len(order))
+        enough = F.size(F.array_intersect(later, around)) >= bound["need"]
         return F.when(word.isin(marks) & enough, F.struct(i.alias("place"), word.alias("word"), (i - start).alias("at"), around.alias("around")))
 
     base = docs.select(
@@ -127,11 +134,11 @@ def find_licenses(
     base = settle(base, "license-base")
 
     near = base.select("row", F.explode("spots").alias("s")).select("row", "s.*")
-    pairs = near.join(_prefix_table(docs, rows), "word").where("size(array_intersect(t_words, around)) >= need")
+    pairs = near.join(_prefix_table(docs, rows), "word").where("size(array_intersect(t_tail, around)) >= need")
     # Every window of the template's width that holds the prefix word; `at` counts from 0, slice from 1.
     held = F.expr(
         "array_max(transform(sequence(greatest(at + 2 - t_width, 1), at + 1),"
-        " i -> size(array_intersect(t_words, slice(around, i, t_width)))))"
+        " i -> size(array_intersect(t_tail, slice(around, i, t_width)))))"
     )
     found = (
         pairs.withColumn("held", held)

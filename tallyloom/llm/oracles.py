@@ -52,10 +52,12 @@ _PHRASE_ROWS = " UNION ALL ".join(
 
 
 def _template_rows(share: float = 0.8) -> str:
+    """A row for each word of each template: label, word, distinct words, words needed, width of a window."""
     rows = []
     for label, text in TEMPLATES.items():
         own = sorted(set(text.split()))
-        rows.append(f"('{label}', [{', '.join(map(repr, own))}], {len(own)}, {math.ceil(round(share * len(own), 9))})")
+        need, width = math.ceil(round(share * len(own), 9)), math.floor(round(len(text.split()) / share, 9))
+        rows += [f"('{label}', '{word}', {len(own)}, {need}, {width})" for word in own]
     return ", ".join(rows)
 
 
@@ -66,11 +68,11 @@ WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t F
 w AS (SELECT row, doc_id, t, regexp_extract_all({_LOWER.format(x='t')}, '{WORD}') AS ws FROM d),
 ph AS ({_PHRASE_ROWS}),
 b AS (SELECT row, count(*) AS n, min(place) AS lo, max(place) AS hi, list(DISTINCT label) AS ls FROM ph GROUP BY row),
-t AS (SELECT * FROM (VALUES {_template_rows()}) v(label, own, size, need)),
-l AS (SELECT row, list_distinct(regexp_extract_all({_LOWER.format(x='line')}, '{WORD}')) AS held
-  FROM (SELECT row, unnest(string_split(t, chr(10))) AS line FROM d)),
-f AS (SELECT row, label, len(list_intersect(own, held)) / size::DOUBLE AS share FROM l JOIN t
-  ON len(list_intersect(own, held)) >= need),
+t AS (SELECT * FROM (VALUES {_template_rows()}) v(label, word, size, need, width)),
+s AS (SELECT row, i, label, t.word AS word, size, need, width
+  FROM (SELECT row, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w) x JOIN t ON x.word = t.word),
+f AS (SELECT row, label, held / size::DOUBLE AS share FROM (SELECT row, label, size, need, count(DISTINCT word) OVER (
+    PARTITION BY row, label ORDER BY i RANGE BETWEEN CURRENT ROW AND width - 1 FOLLOWING) AS held FROM s) WHERE held >= need),
 g AS (SELECT row, list(DISTINCT label) AS ls, max(share) AS best FROM f GROUP BY row)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word,
   hi::BIGINT AS last_word, coalesce(array_to_string(list_sort(b.ls), ','), '') AS base_labels,

@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 from itertools import pairwise
 
+import duckdb
+import pyarrow as pa
 import pytest
 
-from tallyloom.llm import license_join
+from tallyloom.llm import license_join, oracles
 
 
 def test_wrapped_statements_and_a_long_line(spark):
@@ -52,3 +54,21 @@ def test_windows_equal_brute_force(spark):
         assert got[i] == pytest.approx(want)
         found += len(want)
     assert found > 60 and any(a != b for a, b in pairwise(map(str, got.values())))
+
+
+def test_sql_equals_the_operator(spark):
+    """Wrapped, scattered, cut and repeated statements, nulls and empty texts."""
+    rng = random.Random(4)
+    texts = [None, "", "Licensed under\nthe Apache\r\nLicense, Version 2.0", "released under the mit " + "x " * 9 + "license"]
+    texts += [" ".join(w + " filler" * 12 for w in license_join.TEMPLATES["gpl-3.0"].split()), "All Rights\nReserved. cc by, CC-BY 4.0"]
+    for statement in license_join.TEMPLATES.values():
+        words = [w if rng.random() < 0.9 else "other" for w in statement.split()]
+        texts += ["\n".join(words) + "\n" + statement.upper(), "see " * 40 + " ".join(words[1:] + words[:1])]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = license_join.find_licenses(frame).drop("matches")
+    db = duckdb.connect()
+    db.register("documents", pa.table({"doc_id": list(range(len(texts))), "text": texts}))
+    want = db.execute(oracles.LICENSES).to_arrow_table().to_pylist()
+    rows = sorted((r.asDict() for r in got.collect()), key=lambda r: r["doc_id"])
+    assert rows == sorted(({k: w[k] for k in got.columns} for w in want), key=lambda r: r["doc_id"])
+    assert sum("," in r["labels"] for r in rows) > 1 and len({r["labels"] for r in rows}) > 8
