@@ -55,9 +55,12 @@ def _money_signed(raw: Column, kept: Column) -> Column:
     return F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), digits)
 
 
+_NUMBER = r"^-?(?:\d+\.?\d*|\.\d+)$"
+
+
 def _money_value(signed: Column) -> Column:
     # Only text that is a number is cast: a failed decimal cast costs an exception per cell.
-    return F.when(signed.rlike(r"^-?(?:\d+\.?\d*|\.\d+)$"), signed.try_cast(RAW_MONEY))
+    return F.when(signed.rlike(_NUMBER), signed.try_cast(RAW_MONEY))
 
 
 def with_money(df: DataFrame, cells: dict[str, str]) -> DataFrame:
@@ -81,10 +84,18 @@ def money_fields(records: Column, money: tuple[str, ...], rest: tuple[str, ...])
             array, lambda r: F.struct(*[r[k].alias(k) for k in rest], *[make(r[k]).alias(k) for k in money])
         )
 
-    raw = step(records, _money_raw)
-    kept = step(raw, lambda v: F.struct(v.alias("raw"), _money_kept(v).alias("kept")))
-    signed = step(kept, lambda v: _money_signed(v["raw"], v["kept"]))
-    return step(signed, _money_value)
+    def unless_plain(make):
+        return lambda v: F.struct(v["plain"].alias("plain"), F.when(v["text"].isNotNull(), make(v["text"])).alias("text"))
+
+    # Plain numbers are cast at once and skip the other steps.
+    split = step(
+        records,
+        lambda v: F.struct(_money_value(v).alias("plain"), F.when(~F.coalesce(v, F.lit("")).rlike(_NUMBER), F.coalesce(v, F.lit(""))).alias("text")),
+    )
+    raw = step(split, unless_plain(_money_raw))
+    kept = step(raw, unless_plain(lambda v: F.struct(v.alias("raw"), _money_kept(v).alias("kept"))))
+    signed = step(kept, unless_plain(lambda v: _money_signed(v["raw"], v["kept"])))
+    return step(signed, lambda v: F.coalesce(v["plain"], _money_value(v["text"])))
 
 
 def _full_year(short: Column, as_of: date) -> Column:

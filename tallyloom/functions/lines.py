@@ -46,19 +46,14 @@ def build_line(description: Column, quantity: Column, unit_price: Column, amount
     ).cast(RAW_LINE_DDL)
 
 
-# Alias to its place: hundreds name the field, units the priority within it.
-_PLACES = {
-    alias: 100 * field + priority
-    for field, aliases in enumerate(LINE_KEYS.values())
-    for priority, alias in enumerate(aliases)
-}
-
+def _unless_falsy(entry: Column) -> Column:
+    """The text of a JSON value; absent, null, empty, false and the number zero read as missing, the text "0" does not.
 
-def _falsy(entry: Column) -> Column:
-    """Absent, null, empty, false and the number zero read as missing; the text "0" does not."""
+    The kind is looked at only where the text could be one of these.
+    """
     text = entry["text"]
-    empty = text.isin("", "false", "[]", "{}") | F.coalesce(text.try_cast("double") == 0, F.lit(False))
-    return entry.isNull() | text.isNull() | (text == "") | ((entry["kind"] != "STRING") & empty)
+    doubtful = text.isin("false", "[]", "{}") | text.rlike(r"^-?0[0.]*(?:[eE].*)?$")
+    return F.when(text.isNull() | (doubtful & (F.schema_of_variant(entry["value"]) != "STRING")), F.lit("")).otherwise(text)
 
 
 def json_lines(cell: Column) -> Column:
@@ -70,42 +65,28 @@ def json_lines(cell: Column) -> Column:
     objects = F.filter(
         F.transform(items, lambda v: v.try_cast("map<string,variant>")), lambda m: m.isNotNull()
     )
-    places = F.create_map(*[F.lit(x) for pair in _PLACES.items() for x in pair])
-    placed = F.transform(
+    # Backwards, as among equal spellings the last one decides.
+    named = F.transform(
         objects,
-        lambda obj: F.transform(
-            F.map_entries(obj),
-            lambda e, i: F.struct(places[norm_key(e["key"])].alias("place"), (-i).alias("later"), e["value"].alias("value")),
+        lambda m: F.struct(
+            F.reverse(F.transform(F.map_keys(m), norm_key)).alias("keys"), F.reverse(F.map_values(m)).alias("values")
         ),
     )
-    # The first alias that is present decides; among equal spellings the last one does.
-    known = F.transform(placed, lambda es: F.filter(es, lambda e: e["place"].isNotNull()))
-    typed = F.transform(
-        known,
-        lambda es: F.transform(
-            es,
-            lambda e: F.struct(
-                e["place"].alias("place"),
-                e["later"].alias("later"),
-                F.schema_of_variant(e["value"]).alias("kind"),
-                e["value"].try_cast("string").alias("text"),
-            ),
-        ),
-    )
-    ordered = F.transform(typed, lambda es: F.array_sort(es))
 
-    def field(es: Column, number: int) -> Column:
-        return F.get(F.filter(es, lambda e: F.floor(e["place"] / 100) == number), F.lit(0))
+    def first_present(entry: Column, aliases: tuple[str, ...]) -> Column:
+        places = [F.nullif(F.array_position(entry["keys"], alias), F.lit(0)) for alias in aliases]
+        return F.get(entry["values"], F.coalesce(*places).cast("int") - 1)
 
     picked = F.transform(
-        ordered, lambda es: F.struct(*[field(es, i).alias(name) for i, name in enumerate(LINE_KEYS)])
+        named, lambda e: F.struct(*[first_present(e, aliases).alias(name) for name, aliases in LINE_KEYS.items()])
     )
-    texts = F.transform(
+    read = F.transform(
         picked,
         lambda p: F.struct(
-            *[F.when(_falsy(p[name]), F.lit("")).otherwise(p[name]["text"]).alias(name) for name in LINE_KEYS]
+            *[F.struct(p[name].alias("value"), p[name].try_cast("string").alias("text")).alias(name) for name in LINE_KEYS]
         ),
     )
+    texts = F.transform(read, lambda p: F.struct(*[_unless_falsy(p[name]).alias(name) for name in LINE_KEYS]))
     parsed = money_fields(texts, ("quantity", "unit_price", "amount"), ("description",))
     return F.transform(
         parsed, lambda p: build_line(p["description"], p["quantity"], p["unit_price"], p["amount"])
