@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.cells import parse_currency, parse_status, with_dates, with_money
@@ -169,8 +170,29 @@ def q_page_summary(spark, sf):
 
 @query(f"WITH {INV} SELECT status, count(*) AS invoices FROM inv GROUP BY status UNION ALL SELECT 'all', count(*) FROM inv")
 def q_status_counts(spark, sf):
+    return Q.counts_with_all(invoice_headers(spark, sf))
+
+
+def _deep_page(preset: str, skip: int) -> str:
+    sort, order = Q.PRESETS[preset]
+    nulls = "FIRST" if order == "asc" else "LAST"
+    return f"""SELECT '{preset}' AS preset, id, place - {skip} AS place FROM
+(SELECT id, row_number() OVER (ORDER BY {sort} {order} NULLS {nulls}, id DESC) AS place FROM inv) WHERE place > {skip} AND place <= {skip + 100}"""
+
+
+@query(f"WITH {INV} " + " UNION ALL ".join(f"({_deep_page(preset, 1300)})" for preset in Q.PRESETS))
+def q_deep_page(spark, sf):
+    """A page far behind the first, for every preset."""
     inv = invoice_headers(spark, sf)
-    return Q.status_counts(inv).unionByName(Q.row_count(inv).withColumn("status", F.lit("all")))
+    pages = [
+        Q.page_of(inv, 14, 100, *keys).select(
+            F.lit(preset).alias("preset"),
+            "id",
+            F.row_number().over(Window.orderBy(*Q.preset_keys(preset))).cast("long").alias("place"),  # of one page's rows
+        )
+        for preset, keys in Q.PRESETS.items()
+    ]
+    return reduce(DataFrame.unionByName, pages)
 
 
 @query(f"""WITH {INV} SELECT vendor_name, currency, CAST(sum(total) AS DOUBLE) AS spend, count(*) AS invoices

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import WHITESPACE
-from tallyloom.operators.numbering import ordered_positions
 from tallyloom.schema import SOURCES, STATUSES
 
 # What may be searched, sorted and paged.
@@ -26,8 +25,10 @@ PRESETS = {
     "vendor": ("vendor_name", "asc"),
 }
 MAX_PAGE_SIZE = 200
-# Beyond this many skipped rows a page is cut out of a distributed sort instead of a top-k.
-DEEP_OFFSET = 100_000
+# So many rows may lie before a page where its top-k is taken; further ones are counted away.
+DEEP_OFFSET = 1_000
+# Keys that cut the rows into ranges in one counting pass.
+SPLITS = 64
 
 
 def _one_of(name: str, value: Any, allowed: tuple) -> None:
@@ -96,16 +97,48 @@ def _check_page(page: int, page_size: int) -> None:
 def page_of(
     df: DataFrame, page: int = 1, page_size: int = 25, sort: str = "created_at", order: str = "desc"
 ) -> DataFrame:
-    """One page. Shallow pages are a top-k; a deep one is located in a distributed sort of the keys."""
+    """One page, by a top-k over the range of rows that it begins in; a page beyond the last row is empty."""
     _check_page(page, page_size)
-    skip = (page - 1) * page_size
-    if skip <= DEEP_OFFSET:
-        return df.orderBy(*sort_keys(sort, order)).offset(skip).limit(page_size)
-    keys = df.select("id", sort)
-    numbered = ordered_positions(keys, sort_keys(sort, order), "_position")
-    wanted = numbered.where(F.col("_position").between(skip + 1, skip + page_size)).select("id")
-    # At most one page of ids.
-    return df.join(F.broadcast(wanted), "id", "left_semi").orderBy(*sort_keys(sort, order))
+    rows, skip = _begin_of_page(df, (page - 1) * page_size, page_size, sort, order)
+    return rows.orderBy(*sort_keys(sort, order)).offset(skip).limit(page_size)
+
+
+def _begin_of_page(df: DataFrame, skip: int, page_size: int, sort: str, order: str) -> tuple[DataFrame, int]:
+    """The range of rows that holds the page, and how many of its rows come before it.
+
+    Keys chosen by their hash cut the rows into ranges of about the same size, however the sort column is spread, as the id
+    settles ties. One pass counts what each key leaves behind it; the range around the page is cut again until few rows
+    lie before the page. Every pass reads two columns; the driver sees `SPLITS` keys and counts.
+    """
+    keys = sort_keys(sort, order)
+    while skip > DEEP_OFFSET:
+        chosen = df.select(F.col(sort).alias("value"), "id").orderBy(F.xxhash64("id"), "id").limit(SPLITS).collect()
+        kept = [F.count_if(~_beyond(row.value, row.id, sort, order)).alias(f"n{i}") for i, row in enumerate(chosen)]
+        *counts, total = df.agg(*kept, F.count(F.lit(1)).alias("total")).first()
+        passed = max(((n, i) for i, n in enumerate(counts) if n <= skip), default=None)
+        ended = min(((n, i) for i, n in enumerate(counts) if skip + page_size <= n < total), default=None)
+        if skip >= total:
+            return df.orderBy(*keys).limit(0), 0
+        if passed is None and ended is None:
+            break
+        if ended is not None:
+            last = chosen[ended[1]]
+            df = df.where(~_beyond(last.value, last.id, sort, order))
+        if passed is not None:
+            last = chosen[passed[1]]
+            df, skip = df.where(_beyond(last.value, last.id, sort, order)), skip - passed[0]
+    return df, skip
+
+
+def _beyond(value: Any, last_id: int, sort: str, order: str) -> Column:
+    """True for rows that come after the key (sort value, id), never null."""
+    column, older = F.col(sort), F.col("id") < F.lit(last_id)
+    if order == "asc":
+        beyond = column.isNotNull() if value is None else column > F.lit(value)
+    else:
+        beyond = F.lit(False) if value is None else (column < F.lit(value)) | column.isNull()
+    tied = (column.isNull() if value is None else column == F.lit(value)) & older
+    return F.coalesce(beyond | tied, F.lit(False))
 
 
 def page_after(
@@ -120,14 +153,7 @@ def page_after(
     keys = sort_keys(sort, order)
     if last is None:
         return df.orderBy(*keys).limit(page_size)
-    value, last_id = last
-    column, older = F.col(sort), F.col("id") < F.lit(last_id)
-    if order == "asc":
-        beyond = column.isNotNull() if value is None else column > F.lit(value)
-    else:
-        beyond = F.lit(False) if value is None else (column < F.lit(value)) | column.isNull()
-    tied = (column.isNull() if value is None else column == F.lit(value)) & older
-    return df.where(F.coalesce(beyond | tied, F.lit(False))).orderBy(*keys).limit(page_size)
+    return df.where(_beyond(*last, sort, order)).orderBy(*keys).limit(page_size)
 
 
 def page_summary(df: DataFrame, page: int = 1, page_size: int = 25, **filters: Any) -> DataFrame:
@@ -150,6 +176,15 @@ def status_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("status").agg(F.count(F.lit(1)).alias("invoices"))
 
 
+def counts_with_all(df: DataFrame) -> DataFrame:
+    """status_counts and a row `all` with the sum of them, from one pass; of no rows, `all` is 0."""
+    # A row for each status, of which there are few.
+    counted = status_counts(df).agg(
+        F.collect_list(F.struct("status", "invoices")).alias("each"), F.coalesce(F.sum("invoices"), F.lit(0)).alias("invoices")
+    )
+    return counted.select(F.inline(F.array_append("each", F.struct(F.lit("all").alias("status"), "invoices"))))
+
+
 def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("invoices"))
 

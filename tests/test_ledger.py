@@ -444,3 +444,25 @@ def test_a_batch_that_is_saved_again_adds_nothing(spark, tmp_path):
     for _ in range(2):
         ledger.save(numbered(spark, "A-1"), ["pos"], as_of=AS_OF, created_at=NOW, rejects=rejects, batch_id="b-7")
     assert stored(ledger) == [(1, "A-1")] and ledger.rejects().count() == 1
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_pages_far_behind_the_first(spark, monkeypatch, hot):
+    """Every page of a table with ties and nulls, by ranges cut as often as it takes."""
+    monkeypatch.setattr(Q, "DEEP_OFFSET", 2)
+    monkeypatch.setattr(Q, "SPLITS", 3)
+    rows = [(i, None if i % 11 == 0 else "same" if hot and i % 3 else f"v{i * 7919 % 23:02}") for i in range(1, 61)]
+    frame = spark.createDataFrame(rows, "id long, vendor_name string").coalesce(2).cache()
+    for order in ("asc", "desc"):
+        want = ids(Q.sort_invoices(frame, "vendor_name", order))
+        for page in (1, 2, 5, 8, 9, 12):
+            got = ids(Q.page_of(frame, page, 7, "vendor_name", order))
+            assert got == want[(page - 1) * 7 : page * 7]
+    repeated = frame.limit(1).crossJoin(spark.range(9).select()).cache()
+    assert len(ids(Q.page_of(repeated, 3, 4, "vendor_name", "asc"))) == 1
+
+
+def test_counts_with_all(spark, book):
+    counted = {r.status: r.invoices for r in Q.counts_with_all(book).collect()}
+    assert counted.pop("all") == sum(counted.values()) == 4
+    assert [tuple(r) for r in Q.counts_with_all(book.where("false")).collect()] == [("all", 0)]
