@@ -14,7 +14,7 @@ from tallyloom.llm.mixing import copies, mix
 from tallyloom.llm.pii_disclosure import disclosures, sanitised
 from tallyloom.llm.quality_rules import judge
 from tallyloom.llm.shingle_copies import near_copies as linked_copies
-from tallyloom.llm.simhash import surplus_rows
+from tallyloom.llm.simhash import joined_roots, near_duplicates, surplus_rows
 from tallyloom.llm.winnowing import contamination
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -66,9 +66,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @stage(after="quality_rules")
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (0.8 of the five-word shingles) stays, that with the smallest doc_id."""
+    """One document of each group of near copies stays, that with the smallest doc_id.
+
+    Copies are linked by SimHash fingerprints at most two bits apart, and by 0.8 of the five-word shingles, which lie further apart.
+    """
     rows = _numbered(docs, "stage-rows")
-    linked = settle(linked_copies(rows, shingle=5, share=0.8), "stage-linked")
+    prints = near_duplicates(rows, row="row")
+    linked = settle(joined_roots(linked_copies(rows, shingle=5, share=0.8), prints), "stage-linked")
     gone = broadcast_if_small(settle(surplus_rows(linked), "stage-surplus"), FEW_ROWS)
     return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 

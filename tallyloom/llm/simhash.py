@@ -143,6 +143,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2, ro
     return prints.join(labelled, "fp").select("row", "doc_id", "fp", "root", "component_id")
 
 
+def joined_roots(linked: DataFrame, prints: DataFrame) -> DataFrame:
+    """(row, doc_id, root) of every row of `linked`, with the components joined that `prints` (row, root) ties together.
+
+    Both have each row once. A component of `prints` ties the roots of its rows to the smallest of them.
+    """
+    held = settle(linked.join(prints.select("row", F.col("root").alias("print")), "row"), "copies-joined")
+    least = held.groupBy("print").agg(F.min("root").alias("b"))
+    edges = held.select("print", F.col("root").alias("a")).distinct().join(least, "print").where("a <> b").select("a", "b")
+    roots = components(edges, "copies-united").withColumnRenamed("root", "top")
+    united = held.join(roots, held.root == F.col("node"), "left")
+    return united.select("row", "doc_id", F.coalesce("top", held.root).alias("root"))
+
+
 def surplus_rows(linked: DataFrame) -> DataFrame:
     """(row) of every row but one of each component; the one with the smallest doc_id stays, rows without one last."""
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
