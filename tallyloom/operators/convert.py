@@ -84,10 +84,16 @@ class Drafts:
 
 @dataclass(frozen=True)
 class Rows:
-    """Source rows with one text column per invoice field, and the mapping struct `m` of each file."""
+    """Source rows with one text column per invoice field, and the mapping struct `m` of each file.
+
+    `used` names the fields that some file maps, all others are empty in every row; `kinds` says whether
+    some file's rows are drafts by themselves (False) or grouped (True).
+    """
 
     frame: DataFrame
     mapping: DataFrame
+    used: frozenset[str] = frozenset(MAPPED_FIELDS)
+    kinds: frozenset[bool] = frozenset((False, True))
 
 
 def rows_from_cells(cells: DataFrame, mapping: DataFrame) -> Rows:
@@ -96,8 +102,15 @@ def rows_from_cells(cells: DataFrame, mapping: DataFrame) -> Rows:
         mapping.select("file", F.struct(*[c for c in mapping.columns if c != "file"]).alias("m"))
     )
     m = F.col("m")
-    values = [F.coalesce(F.col("cells")[m[name]], F.lit("")).alias(name) for name in MAPPED_FIELDS]
-    return Rows(cells.join(structs, "file").select("file", "row_no", "m", *values), structs)
+    # One row of booleans: a field that no file maps is a constant, and a kind of file that is not there costs nothing.
+    seen = structs.agg(
+        *[F.bool_or(m[name].isNotNull()).alias(name) for name in MAPPED_FIELDS],
+        F.bool_or(_is_grouped(m)).alias("grouped"), F.bool_and(_is_grouped(m)).alias("only_grouped"),
+    ).first()
+    used = frozenset(name for name in MAPPED_FIELDS if seen[name])
+    kinds = frozenset(k for k, there in ((True, seen["grouped"]), (False, not seen["only_grouped"])) if there)
+    values = [(F.coalesce(F.col("cells")[m[name]], F.lit("")) if name in used else F.lit("")).alias(name) for name in MAPPED_FIELDS]
+    return Rows(cells.join(structs, "file").select("file", "row_no", "m", *values), structs, used, kinds)
 
 
 def rows_from_frame(df: DataFrame, file: str, row_no: str, mapping: Mapping[str, object]) -> Rows:
@@ -150,9 +163,9 @@ def _keyed(rows: Rows) -> tuple[DataFrame, DataFrame]:
     """(rows that are drafts by themselves, rows to be grouped by invoice number)."""
     lined = _with_row_line(rows.frame)
     grouped = _is_grouped(F.col("m"))
-    single = lined.where(~grouped).withColumn("draft_key", F.col("row_no").cast("string"))
-    many = lined.where(grouped).withColumn("draft_key", norm_key(F.col("invoice_number")))
-    return single, many.where(F.col("draft_key") != "")
+    single, many = (lined.where(kind if found in rows.kinds else F.lit(False)) for kind, found in ((~grouped, False), (grouped, True)))
+    many = many.withColumn("draft_key", norm_key(F.col("invoice_number")))
+    return single.withColumn("draft_key", F.col("row_no").cast("string")), many.where(F.col("draft_key") != "")
 
 
 def _line_measures(rows: DataFrame) -> DataFrame:
@@ -177,8 +190,10 @@ _MEASURES = {
 }
 
 
-def _groups(single: DataFrame, many: DataFrame, mapping: DataFrame) -> DataFrame:
+def _groups(single: DataFrame, many: DataFrame, rows: Rows) -> DataFrame:
     """One row per draft with the first non-empty texts, the row range and line measures."""
+    first = [F.expr(f"coalesce(min_by({c}, row_no) FILTER (WHERE {c} <> ''), '')").alias(c) for c in _FIRST_OF if c in rows.used]
+    unmapped = [F.lit("").alias(c) for c in _FIRST_OF if c not in rows.used]
     keep = ["file", "draft_key", "m", *_FIRST_OF, *_MEASURES]
     alone = _line_measures(single).select(
         *keep,
@@ -194,10 +209,11 @@ def _groups(single: DataFrame, many: DataFrame, mapping: DataFrame) -> DataFrame
         .agg(
             F.min("row_no").alias("first_row"),
             F.count(F.lit(1)).alias("row_count"),
-            *[F.expr(f"coalesce(min_by({c}, row_no) FILTER (WHERE {c} <> ''), '')").alias(c) for c in _FIRST_OF],
+            *first,
             *[F.sum(c).cast(t).alias(c) for c, t in _MEASURES.items()],
         )
-        .join(mapping, "file")
+        .select("*", *unmapped)
+        .join(rows.mapping, "file")
         .select(
             *keep, "first_row", "row_count", F.lit(True).alias("grouped"),
             F.lit(None).cast(RAW_LINE_DDL).alias("own_line"),
@@ -208,7 +224,7 @@ def _groups(single: DataFrame, many: DataFrame, mapping: DataFrame) -> DataFrame
 
 def group_rows(rows: Rows) -> DataFrame:
     """Drafts of each file as row groups: file, draft_key, first_row, row_count, first values."""
-    return _groups(*_keyed(rows), rows.mapping).select("file", "draft_key", "first_row", "row_count", *_FIRST_OF)
+    return _groups(*_keyed(rows), rows).select("file", "draft_key", "first_row", "row_count", *_FIRST_OF)
 
 
 # ------------------------------------------------------------------ groups to drafts
@@ -419,7 +435,7 @@ def convert(rows: Rows, as_of: date | None = None) -> Drafts:
     """All drafts of all files. `as_of` stands in for today wherever a date is missing or compared."""
     as_of = as_of or date.today()
     single, many = _keyed(rows)
-    headers = _finish(_groups(single, many, rows.mapping), as_of)
+    headers = _finish(_groups(single, many, rows), as_of)
     keyed = [
         part.select("file", "draft_key", "row_no", "line", F.lit(grouped).alias("grouped"))
         for part, grouped in ((single, False), (many, True))
