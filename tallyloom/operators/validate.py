@@ -7,6 +7,7 @@ nested invoices and on header rows whose lines live in a separate table.
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,9 +86,16 @@ def line_note_count(line: Column) -> Column:
 def array_line_notes(lines: Column) -> Column:
     """Per-line notes of a nested invoice, interleaved line by line."""
     none = F.array().cast("array<string>")
-    return F.coalesce(
-        F.flatten(F.transform(lines, lambda line, i: F.array_compact(F.array(*line_notes(i + 1, line))))), none
-    )
+    noted = F.flatten(F.transform(lines, lambda line, i: F.array_compact(F.array(*line_notes(i + 1, line)))))
+    # Notes are worded only where a line breaks a rule.
+    broken = F.exists(lines, lambda line: bad_quantity(line) | negative_money(line))
+    return F.when(broken, F.coalesce(noted, none)).otherwise(none)
+
+
+def _noted(notes: list[Column]) -> Column:
+    """The notes there are. Rules are tested in compiled code; only rows that break one go through the array function, which is not."""
+    some = reduce(lambda a, b: a | b, [note.isNotNull() for note in notes])
+    return F.when(some, F.array_compact(F.array(*notes))).otherwise(F.array().cast("array<string>"))
 
 
 def with_line_totals(df: DataFrame) -> DataFrame:
@@ -119,10 +127,10 @@ def with_review(df: DataFrame, require_lines: Column | bool = True) -> DataFrame
     require = F.lit(require_lines) if isinstance(require_lines, bool) else require_lines
     totals = with_line_totals(df)
     notes = F.concat(
-        F.array_compact(F.array(*opening_notes(require))),
+        _noted(opening_notes(require)),
         F.coalesce(array_line_notes(F.col("line_items")), F.array().cast("array<string>")),
         stored_line_note(df),
-        F.array_compact(F.array(*closing_notes())),
+        _noted(closing_notes()),
     )
     return totals.withColumn("review_notes", notes).withColumn("needs_review", F.size("review_notes") > 0)
 

@@ -16,8 +16,8 @@ from datetime import date, datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators.dedup import ALREADY_STORED, REPEATED, bulk_outcome
-from tallyloom.operators.numbering import ensure_checkpoint_dir, ordered_positions
+from tallyloom.operators.dedup import DuplicateInvoice, bulk_outcome
+from tallyloom.operators.numbering import ensure_checkpoint_dir, ordered_positions, written
 from tallyloom.operators.validate import derive_status, round_money, with_review
 from tallyloom.schema import INVOICE, LEDGER_LINE, REJECT
 
@@ -26,10 +26,6 @@ class ConcurrentSave(RuntimeError):
     """Another writer changed the ledger between the beginning of a save and its end."""
 
 
-class DuplicateInvoice(ValueError):
-    """A strict save met a number that is already taken."""
-
-
 @dataclass(frozen=True)
 class SaveReport:
     """`rows` has one row per batch row with outcome and reason, fixed before anything was written."""
@@ -73,6 +69,15 @@ def to_ledger_rows(
     return stamped.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in names], *keep)
 
 
+def _fixed(df: DataFrame, label: str) -> DataFrame:
+    """The frame as Parquet, of which later readers take the columns they need; a checkpoint where Parquet cannot hold it."""
+    schema = df.schema.json()
+    names = {name.lower() for name in df.columns}
+    if len(names) < len(df.columns) or any(part in schema for part in ('"void"', '"interval"', '"udt"', '"fields":[]')):
+        return df.checkpoint()
+    return written(df, label)
+
+
 class Ledger:
     """Reads and writes one ledger folder; of two writers at once, one succeeds and the other gets an error."""
 
@@ -146,7 +151,8 @@ class Ledger:
         places = [f"data/{name}/{part}" for name in folders]
         held = [f"{self.path}/{p}" for p in places if self._path(p)[0].exists(self._path(p)[1])]
         if not held:
-            return self.spark.createDataFrame([], schema)
+            # An empty range, not an empty list: no Python worker is started for it.
+            return self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
         return self.spark.read.schema(schema).parquet(*held)
 
     def invoices(self) -> DataFrame:
@@ -200,11 +206,7 @@ class Ledger:
         version, folders = self.current()
         stored = self._read("invoices", INVOICE, folders)
         # Fixed before anything is written: afterwards every number of the batch would count as stored.
-        judged = bulk_outcome(batch, stored.select("invoice_number"), order).checkpoint()
-        if on_duplicate == "error":
-            clash = judged.where(F.col("reason").isin(ALREADY_STORED, REPEATED)).select("invoice_number").first()
-            if clash is not None:
-                raise DuplicateInvoice(f"Invoice number {clash[0]!r} already exists.")
+        judged = _fixed(bulk_outcome(batch, stored.select("invoice_number"), order, on_duplicate == "error", _fixed), "judged")
         report = SaveReport(judged)
         created = report.created
         name = batch_id or "batch"
