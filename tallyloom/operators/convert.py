@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.cells import is_code, parse_currency, parse_status, with_dates, with_money
 from tallyloom.functions.lines import SYNTHESIZED_DESCRIPTION, build_line, parse_line_cell, round_line, sum_amounts
 from tallyloom.functions.text import file_stem, money_text, norm_key, quoted, strip
-from tallyloom.operators.numbering import measured, number_rows, slice_of
+from tallyloom.operators.numbering import MOST_BUCKETS, SLICE_BITS, bucket_of, measured, number_groups
 from tallyloom.operators.validate import (
     array_line_notes,
     closing_notes,
@@ -54,21 +54,39 @@ class Drafts:
     @property
     def lines(self) -> DataFrame:
         """One row per line, ordered by `row_no`, `item_no` within its draft."""
-        from_columns = self.rows.where(F.col("line").isNotNull()).select(
+        return self._column_lines().unionByName(self._cell_lines(self.headers))
+
+    def _column_lines(self) -> DataFrame:
+        lines = self.rows.where(F.col("line").isNotNull()).select(
             "file", "draft_key", "row_no", F.lit(0).alias("item_no"), round_line(F.col("line")).alias("line")
         )
-        from_cells = self.headers.select(
+        return lines.select("file", "draft_key", "row_no", "item_no", "line.*")
+
+    def _cell_lines(self, headers: DataFrame) -> DataFrame:
+        return headers.select(
             "file", "draft_key", F.col("first_row").alias("row_no"),
             F.posexplode("other_lines").alias("item_no", "line"),
-        )
-        return from_columns.unionByName(from_cells).select("file", "draft_key", "row_no", "item_no", "line.*")
+        ).select("file", "draft_key", "row_no", "item_no", "line.*")
 
     def numbered_lines(self) -> DataFrame:
-        """Lines with `line_no`, counted from 1 within each draft."""
-        sliced = self.lines.withColumn("_slice", slice_of(F.col("row_no")))
-        return number_rows(
-            sliced, ["file", "draft_key"], ["_slice"], ["row_no", "item_no"], "line_no"
-        ).drop("_slice")
+        """Lines with `line_no`, counted from 1 within each draft.
+
+        Drafts are dealt into buckets, and the rows of each are counted first. A draft has other lines than those of its
+        columns only where some row of it has no line, so no other draft is grouped for them. Rows of a bucket that no
+        slice could exceed meet the rows of their draft; the others are numbered slice by slice.
+        """
+        bucket = bucket_of("file", "draft_key")
+        # Named once, so that lines need not be made to see that they are there.
+        dealt = self.rows.select(bucket.alias("bucket"), F.col("line").isNotNull().alias("lined"))
+        counts = dealt.groupBy("bucket").agg(F.count_if("lined").alias("lines"), F.count_if(~F.col("lined")).alias("lineless"))
+        found = counts.where((F.col("lines") > 1 << SLICE_BITS) | (F.col("lineless") > 0)).collect()
+        large, lineless = ([r.bucket for r in found if r.lines > 1 << SLICE_BITS], [r.bucket for r in found if r.lineless])
+        lines = self._column_lines()
+        if lineless:
+            headers = self.headers if len(lineless) > MOST_BUCKETS else self.headers.where(bucket.isin(*lineless))
+            lines = lines.unionByName(self._cell_lines(headers))
+        large = None if len(large) > MOST_BUCKETS else large
+        return number_groups(lines, ["file", "draft_key"], "row_no", ["row_no", "item_no"], "line_no", large)
 
     def line_notes(self) -> DataFrame:
         """Review notes on single lines."""
@@ -148,8 +166,9 @@ def _with_row_line(rows: DataFrame) -> DataFrame:
     """Type the line cells of every row once, before any shuffle."""
     has_line = (_mapped_line_columns(F.col("m")) >= 2) & (F.concat(*LINE_FIELDS) != "")
     typed = with_money(
-        rows, {"_q": "line_item_quantity", "_p": "line_item_unit_price", "_a": "line_item_amount"}
-    ).withColumn("_has_line", has_line)
+        rows.withColumn("_has_line", has_line),
+        {"_q": "line_item_quantity", "_p": "line_item_unit_price", "_a": "line_item_amount"},
+    )
     line = build_line(F.col("line_item_description"), F.col("_q"), F.col("_p"), F.col("_a"))
     return typed.withColumn("line", F.when(F.col("_has_line"), line)).drop("_q", "_p", "_a", "_has_line")
 
@@ -164,8 +183,9 @@ def _keyed(rows: Rows) -> tuple[DataFrame, DataFrame]:
     lined = _with_row_line(rows.frame)
     grouped = _is_grouped(F.col("m"))
     single, many = (lined.where(kind if found in rows.kinds else F.lit(False)) for kind, found in ((~grouped, False), (grouped, True)))
-    many = many.withColumn("draft_key", norm_key(F.col("invoice_number")))
-    return single.withColumn("draft_key", F.col("row_no").cast("string")), many.where(F.col("draft_key") != "")
+    # The filter says that the key is not empty, without making the key a second time.
+    many = many.where(F.lower("invoice_number").rlike("[a-z0-9]")).withColumn("draft_key", norm_key(F.col("invoice_number")))
+    return single.withColumn("draft_key", F.col("row_no").cast("string")), many
 
 
 def _line_measures(rows: DataFrame) -> DataFrame:
