@@ -11,6 +11,8 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import date
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -164,7 +166,8 @@ def _mapped_line_columns(m: Column) -> Column:
 
 def _with_row_line(rows: DataFrame) -> DataFrame:
     """Type the line cells of every row once, before any shuffle."""
-    has_line = (_mapped_line_columns(F.col("m")) >= 2) & (F.concat(*LINE_FIELDS) != "")
+    filled = reduce(or_, [F.col(name) != "" for name in LINE_FIELDS])
+    has_line = (_mapped_line_columns(F.col("m")) >= 2) & filled
     typed = with_money(
         rows.withColumn("_has_line", has_line),
         {"_q": "line_item_quantity", "_p": "line_item_unit_price", "_a": "line_item_amount"},
